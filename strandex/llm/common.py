@@ -146,12 +146,20 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of data[start:end], all spans at once: differences of one running polynomial sum, mixed."""
-    up, down = _power(len(data))
+def running_hash(data: np.ndarray) -> np.ndarray:
+    """The running polynomial sum of the bytes, from which every span's hash follows."""
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTES[data] * up[: len(data)], out=total[1:])
-    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+    np.cumsum(_BYTES[data] * _power(len(data))[0][: len(data)], out=total[1:])
+    return total
+
+
+def span_hash(total: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the spans start:end of what was summed."""
+    return mix((total[end] - total[start]) * _power(len(total) - 1)[1][start] + (end - start).astype(np.uint64))
+
+
+def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return span_hash(running_hash(data), start, end)
 
 
 def word_hashes(data: np.ndarray, breaks: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

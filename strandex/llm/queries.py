@@ -1,12 +1,16 @@
 """The registered queries of the text operators and their SQL."""
 
-from strandex.llm import decontamination, secret_scan, simhash, token_counts
+from strandex.llm import bpe, decontamination, kneser_ney, quality, secret_scan, simhash, token_counts, toxicity
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op2_decontamination": decontamination.op2_decontamination,
     "op3_secret_scan": secret_scan.op3_secret_scan,
     "op5_simhash": simhash.op5_simhash,
+    "op6_lm_scoring": kneser_ney.op6_lm_scoring,
+    "op7_quality": quality.op7_quality,
+    "op9_bpe": bpe.op9_bpe,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 #: Where SQL can express the operator.
 ORACLES = {
