@@ -9,7 +9,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandex.llm import common, decontamination, secret_scan, simhash
+from strandex.llm import bpe, common, decontamination, secret_scan, simhash, toxicity
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the multiple-instance model scores at or above its cut go."""
+    return toxicity.reject(docs, common.table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +32,12 @@ def scan_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return secret_scan.redact_secrets(docs)
 
 
-STAGES = [("simhash_near_dedup", near_dedup), ("benchmark_decontamination", decontaminate), ("secret_scans", scan_secrets)]
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids (joined by spaces) and decoded of every text that is left."""
+    return bpe.encode_documents(docs)
+
+
+STAGES = [("toxicity", reject_toxic), ("simhash_near_dedup", near_dedup), ("benchmark_decontamination", decontaminate), ("secret_scans", scan_secrets), ("bpe", encode)]
 #: Toxicity, SimHash and BPE can't be said in SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
