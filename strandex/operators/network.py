@@ -194,6 +194,12 @@ def layout(near: list[list[int]], steps: int = 300) -> np.ndarray:
     return (p - lo) / wide
 
 
+def _frame(sid, **columns) -> pd.DataFrame:
+    """Rows of one structure, in plain Python values."""
+    n = len(next(iter(columns.values())))
+    return pd.DataFrame({"sid": [sid] * n, **columns}).astype(object)
+
+
 def _per_structure(edges_: DataFrame, kernel, schema: str) -> DataFrame:
     kind = edges_.schema["sid"].dataType.simpleString()
     return edges_.select("sid", "source", "target").groupBy("sid").applyInPandas(lambda pdf: kernel(pdf["sid"].iloc[0], *_graph(pdf)), f"sid {kind}, {schema}")
@@ -204,17 +210,17 @@ def components(edges_: DataFrame) -> DataFrame:
     def kernel(sid, names, near):
         label = component_labels(near)
         size = np.bincount(label, minlength=len(names)) if names else []
-        return pd.DataFrame({"sid": sid, "id": names, "component": [names[x] for x in label], "size": [int(size[x]) for x in label]})
+        return _frame(sid, id=names, component=[names[x] for x in label], size=[int(size[x]) for x in label])
 
     return _per_structure(edges_, kernel, "id string, component string, size long")
 
 
 def betweenness(edges_: DataFrame) -> DataFrame:
-    return _per_structure(edges_, lambda sid, names, near: pd.DataFrame({"sid": sid, "id": names, "betweenness": brandes(near)}), "id string, betweenness double")
+    return _per_structure(edges_, lambda sid, names, near: _frame(sid, id=names, betweenness=brandes(near).tolist()), "id string, betweenness double")
 
 
 def cut_residues(edges_: DataFrame) -> DataFrame:
-    return _per_structure(edges_, lambda sid, names, near: pd.DataFrame({"sid": sid, "id": [names[x] for x in cut_nodes(near)]}), "id string")
+    return _per_structure(edges_, lambda sid, names, near: _frame(sid, id=[names[x] for x in cut_nodes(near)]), "id string")
 
 
 def shortest_path(edges_: DataFrame, start: str, goal: str) -> DataFrame:
@@ -222,7 +228,7 @@ def shortest_path(edges_: DataFrame, start: str, goal: str) -> DataFrame:
     def kernel(sid, names, near):
         at = {x: i for i, x in enumerate(names)}
         found = route(near, at[start], at[goal]) if start in at and goal in at else []
-        return pd.DataFrame({"sid": sid, "step": np.arange(len(found)), "id": [names[x] for x in found]}).astype({"id": object})
+        return _frame(sid, step=list(range(len(found))), id=[names[x] for x in found])
 
     return _per_structure(edges_, kernel, "step long, id string")
 
@@ -246,7 +252,8 @@ def bfs_distance(edges_: DataFrame, starts: DataFrame) -> DataFrame:
                 if depth[v] < 0:
                     depth[v] = depth[u] + 1
                     todo.append(v)
-        return pd.DataFrame([(pdf["sid"].iloc[0], x, d) for x, d in zip(names, depth, strict=True) if d >= 0], columns=["sid", "id", "distance"])
+        seen = [i for i, d in enumerate(depth) if d >= 0]
+        return _frame(pdf["sid"].iloc[0], id=[names[i] for i in seen], distance=[depth[i] for i in seen])
 
     return joined.groupBy("sid").applyInPandas(kernel, f"sid {kind}, id string, distance long")
 
@@ -254,7 +261,7 @@ def bfs_distance(edges_: DataFrame, starts: DataFrame) -> DataFrame:
 def layouts(edges_: DataFrame, steps: int = 300) -> DataFrame:
     def kernel(sid, names, near):
         p = layout(near, steps)
-        return pd.DataFrame({"sid": sid, "id": names, "x": p[:, 0], "y": p[:, 1]})
+        return _frame(sid, id=names, x=p[:, 0].tolist(), y=p[:, 1].tolist())
 
     return _per_structure(edges_, kernel, "id string, x double, y double")
 
