@@ -200,11 +200,12 @@ def detect(atoms: DataFrame, scale: float = 1.0, kinds: tuple[str, ...] = C.KIND
     from functools import cache
 
     own = components or {}
-    graph = cache(lambda: bonds.graph(atoms, scale, own.get("bonds")))
-    groups = cache(lambda: charged_groups(atoms, scale, own.get("sites"), graph() if "sites" in own else None))
-    rings_ = cache(lambda: rings(atoms, scale, comp_rings=own.get("rings")))
-    donors = cache(lambda: hydrogens.donors(atoms, scale, graph() if "hydrogens" in own else None, own.get("hydrogens")))
-    accept = cache(lambda: roles.acceptors(atoms, own.get("roles"), graph() if "roles" in own else None))
+    shared = lambda make: cache(lambda: make().persist())  # noqa: E731  several kinds read each of these; lost blocks are made again
+    graph = shared(lambda: bonds.graph(atoms, scale, own.get("bonds")))
+    groups = shared(lambda: charged_groups(atoms, scale, own.get("sites"), graph() if "sites" in own else None))
+    rings_ = shared(lambda: rings(atoms, scale, comp_rings=own.get("rings")))
+    donors = shared(lambda: hydrogens.donors(atoms, scale, graph() if "hydrogens" in own else None, own.get("hydrogens")))
+    accept = shared(lambda: roles.acceptors(atoms, own.get("roles"), graph() if "roles" in own else None))
     makers = {
         "hydrogen-bond": lambda: hydrogen_bonds(donors(), accept(), scale), "salt-bridge": lambda: salt_bridges(atoms, scale, groups()), "hydrophobic": lambda: hydrophobic(atoms, graph(), scale),
         "pi-stacking": lambda: pi_stacking(rings_(), scale), "pi-cation": lambda: pi_cation(rings_(), groups(), scale), "halogen-bond": lambda: halogen_bonds(atoms, graph(), scale),

@@ -279,7 +279,8 @@ def _three(a: DataFrame) -> DataFrame:
 @_query("interactions_all")
 def interactions_all(a: DataFrame) -> DataFrame:
     """All nine kinds as report records."""
-    return interactions.records(interactions.detect(a, S), a)
+    a = a.persist()
+    return interactions.records(interactions.detect(a, S).persist(), a)
 
 
 @_query("interactions_dedup")
