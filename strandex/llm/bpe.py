@@ -10,7 +10,8 @@ space, which no token of this vocabulary crosses; a bounded memo in front keeps
 what was looked up last.
 
 Null and empty texts encode to nothing.  An empty corpus gives an empty
-lexicon; every word is then merged.  Ties in frequency go to the lesser word.
+lexicon; every word is then merged.  Words that tie in frequency are all in the
+lexicon or all out of it.
 """
 
 from __future__ import annotations
@@ -20,7 +21,6 @@ import json
 import re
 import unicodedata
 from collections import Counter
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +31,13 @@ from pyspark.sql import functions as F
 from strandex.llm import common
 
 #: Words in the lexicon; words of the memo in front of it; bytes of a word in the lexicon at most.
-LEXICON_WORDS, MEMO_WORDS, WORD_BYTES = 131_072, 150_000, 64
+LEXICON_WORDS, MEMO_WORDS, WORD_BYTES = 131_072, 200_000, 64
 #: Symbols of a piece that is merged with a plain list; longer ones use a heap.
 SHORT_PIECE, NO_RANK = 64, 1 << 30
 #: Pieces merged at once.
 MERGE_ROWS = 8192
 #: Distinct words a task counts before it passes the counts on.
-COUNT_WORDS = 200_000
+COUNT_WORDS = 150_000
 #: Fixed value: Unicode's White_Space, as the vocabulary's \\s has it.
 _SPACES = "\t\n\v\f\r \x85\xa0  -     　"
 _SPLIT = re.compile(f"[{_SPACES}]+")
@@ -199,9 +199,8 @@ class Vocabulary:
                 yield from part.split()
 
 
-@lru_cache(2)
 def vocabulary(path: str) -> Vocabulary:
-    return Vocabulary(path)
+    return common.held("bpe", ("vocabulary", path), lambda: Vocabulary(path))
 
 
 def compile_lexicon(entries: list[tuple[bytes, list[int]]]) -> dict[str, np.ndarray]:
@@ -333,9 +332,9 @@ class Encoder:
 
     def encode_many(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """Of each text: the number of ids, the ids joined by spaces, and the decoded text."""
-        split = [list(self.vocabulary.stretches(x)) for x in texts]
+        split = [list(self.vocabulary.stretches(x)) if "<|" in x or _ODD_SPACE.search(x) else x.split() for x in texts]
         needed = set().union(*split)
-        if len(self.memo) + len(needed) > 2 * self.most:
+        if len(self.memo) + len(needed) > self.most:
             self.memo = {w: x for w in needed if (x := self.memo.get(w))}
         self._learn([w for w in needed if w not in self.memo])
         get, out = self.memo.__getitem__, []
@@ -349,7 +348,12 @@ class Encoder:
 
 
 def frequent_words(docs: DataFrame, path: str, most: int = LEXICON_WORDS) -> DataFrame:
-    """word, n: the most frequent stretches of all texts, counted in each task first."""
+    """word, n: the most frequent stretches of all texts, at most ``most``, counted in each task first.
+
+    The least count that is still in is read off the histogram of counts, so no
+    task sends its own ``most`` words; of a count that doesn't fit as a whole
+    none is taken.
+    """
 
     def count(batches):
         known, seen = vocabulary(path), Counter()
@@ -366,7 +370,15 @@ def frequent_words(docs: DataFrame, path: str, most: int = LEXICON_WORDS) -> Dat
         return pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], names=["word", "n"])
 
     counted = common.texts(docs).select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return counted.orderBy(F.desc("n"), "word").limit(most)
+    path_ = common.shared_dir(docs.sparkSession, "word-counts")
+    counted.write.parquet(path_)
+    counted = docs.sparkSession.read.parquet(path_)
+    least, size = None, 0
+    for n, k in sorted(((r.n, r.k) for r in counted.groupBy("n").agg(F.count("*").alias("k")).collect()), reverse=True):  # a row for each count that occurs
+        if (size := size + k) > most:
+            break
+        least = n
+    return counted.where(F.lit(False) if least is None else F.col("n") >= least)
 
 
 def write_lexicon(docs: DataFrame, path: str, most: int = LEXICON_WORDS) -> str:
@@ -378,15 +390,9 @@ def write_lexicon(docs: DataFrame, path: str, most: int = LEXICON_WORDS) -> str:
     return folder
 
 
-_encoders: dict[tuple[str, str], Encoder] = {}
-
-
 def encoder(path: str, folder: str) -> Encoder:
     """One for each worker and lexicon."""
-    if (path, folder) not in _encoders:
-        _encoders.clear()
-        _encoders[path, folder] = Encoder(vocabulary(path), Lexicon(common.map_file(folder, "lexicon")))
-    return _encoders[path, folder]
+    return common.held("bpe", ("encoder", path, folder), lambda: Encoder(vocabulary(path), Lexicon(common.map_file(folder, "lexicon"))))
 
 
 def encode_documents(docs: DataFrame, path: str | None = None, lexicon_words: int = LEXICON_WORDS, with_ids: bool = True) -> DataFrame:

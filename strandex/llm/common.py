@@ -124,6 +124,37 @@ def map_file(folder: str, name: str) -> dict[str, np.ndarray]:
     return out
 
 
+_held: dict = {}
+
+
+def held(owner: str, key, make):
+    """What a worker keeps between tasks: things of one operator at a time.
+
+    Workers outlive queries; when another operator begins, what the last one
+    kept (vocabularies, memos, mapped tables) is given back to the system.
+    """
+    if _held.get("owner") != owner:
+        _held.clear()
+        _held["owner"] = owner
+        _powers[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+        give_back()
+    if key not in _held:
+        _held[key] = make()
+    return _held[key]
+
+
+def give_back() -> None:
+    """Free memory that the allocator holds on to."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library: it decides itself
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser."""
     x = (x ^ (x >> np.uint64(30))) * _M1

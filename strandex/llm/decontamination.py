@@ -221,6 +221,7 @@ def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("item_ids", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), ("contaminated", pa.bool_())])
 
     def find(batches):
+        common.held("decontamination", None, int)
         for batch in batches:
             got = scan(held.value, batch.column(1).to_pylist(), window)
             hit = [sum(e - s for s, e in spans) for _, spans, _ in got]
@@ -251,6 +252,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     at = docs.columns.index("text")
 
     def clean(batches):
+        common.held("decontamination", None, int)
         for batch in batches:
             values = batch.column(at).to_pylist()
             got = scan(held.value, values, window)

@@ -268,14 +268,8 @@ def _lower_mass(model: Model, tables: Tables) -> float:
     return tables.mass
 
 
-_tables: dict[str, Tables] = {}
-
-
 def tables_of(model: Model) -> Tables:
-    if model.folder not in _tables:
-        _tables.clear()
-        _tables[model.folder] = Tables(model)
-    return _tables[model.folder]
+    return common.held("kneser-ney", model.folder, lambda: Tables(model))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -137,6 +137,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, np.ndarray], kee
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        common.held("quality", None, int)
         w, cut, grades = held.value
         for batch in batches:
             values = batch.column(1).to_pylist()

@@ -52,6 +52,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, fp (the fingerprint as a signed long)."""
 
     def run(batches):
+        common.held("simhash", None, int)
         for batch in batches:
             fp = np.array([fingerprint(x) for x in batch.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])

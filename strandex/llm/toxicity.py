@@ -148,6 +148,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, bits: int
     rows = rows.select("text", "toxic").checkpoint()
 
     def screen(batches):
+        common.held("toxicity", None, int)
         pos, neg = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
         sums = np.zeros(2, np.int64)
         for batch in batches:
@@ -184,6 +185,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], cut: float = CUT) ->
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        common.held("toxicity", None, int)
         w, bias = held.value
         for batch in batches:
             values = batch.column(1).to_pylist()
@@ -212,6 +214,7 @@ def reject(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches):
+        common.held("toxicity", None, int)
         w, bias = held.value
         for batch in batches:
             values = batch.column(at).to_pylist()
