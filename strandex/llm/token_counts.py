@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import base64
 from collections import Counter
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -34,14 +33,16 @@ def default_ranks() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-@lru_cache(4)
 def encoding(path: str):
     """The tiktoken encoding of a rank file; made once for each worker."""
     import tiktoken
 
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    def make():
+        with open(path, "rb") as lines:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    return common.held("tokens", path, make)
 
 
 def length_histogram(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
@@ -69,7 +70,8 @@ def context_report(histogram: DataFrame) -> DataFrame:
     Sums go in blocks of lengths: windows within a block, and one short window
     over the blocks' totals.
     """
-    blocks = histogram.withColumn("block", F.expr(f"n_tokens div {BLOCK}"))
+    common.shared_dir(histogram.sparkSession, "histogram")
+    blocks = histogram.checkpoint().withColumn("block", F.expr(f"n_tokens div {BLOCK}"))  # it is read twice; a row for each length
     later = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy()
     totals = (
