@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from strandex.queries import ORACLES, QUERIES
@@ -19,7 +20,7 @@ def tables():
 
 
 def rows(pdf, columns):
-    text = lambda v: None if v is None or v != v else str(int(v)) if isinstance(v, float) and v.is_integer() else str(v)
+    text = lambda v: None if pd.isna(v) else str(int(v)) if isinstance(v, float) and v.is_integer() else str(v)
     return sorted((tuple(map(text, r)) for r in pdf[columns].astype(object).itertuples(index=False)), key=str)
 
 
