@@ -98,10 +98,10 @@ def altloc_occupancy(a: DataFrame) -> DataFrame:
   from atoms where name = 'CA' window w as (partition by sid order by atom_idx))
 select sid, chain, resi as a_resi, b_resi, atom_idx as a_idx, b_idx from ca where chain = b_chain and b_resi = resi + 1""")
 def calpha_trace(a: DataFrame) -> DataFrame:
-    # bond lengths mean nothing among pseudo-atoms: a scale that lets any pass
-    wide = a.withColumns({c: F.lit(0).cast("long") if c != "x" else (F.col("atom_idx") % 2).cast("long") for c in "xyz"})
-    lo = C.CALPHA[0]
-    return residues.calpha_trace(wide.withColumn("x", F.sum(F.when(F.col("name") == "CA", 1).otherwise(0)).over(Window.partitionBy("sid").orderBy("atom_idx")) * 3), lo / lo).drop("d2")
+    # bond lengths mean nothing among pseudo-atoms: C-alphas are put 3 ångström apart on a line
+    nth = F.sum(F.when(F.col("name") == "CA", 3).otherwise(0)).over(Window.partitionBy("sid").orderBy("atom_idx"))
+    line = a.withColumns({"x": nth, "y": F.lit(0).cast("long"), "z": F.lit(0).cast("long")})
+    return residues.calpha_trace(line).drop("d2")
 
 
 @_query("bfactor_range", _WITH + """, r as (select sid, b_factor, row_number() over (partition by sid order by b_factor) - 1 as i, count(*) over (partition by sid) as n from atoms)
