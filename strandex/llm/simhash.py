@@ -176,17 +176,22 @@ def near_duplicates(docs: DataFrame, hot: int = HOT) -> DataFrame:
     return marked.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
-    """The documents with one of each component: the row with the smallest doc_id, one of equal rows.
+def keep_one(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The documents with one of each component of ``found``: the row with the smallest doc_id, one of equal rows.
 
     Rows without a doc_id stay.  Columns are those of ``docs``.
     """
-    kept = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
     known = docs.where("doc_id is not null")
     first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.col("text"))
     one = known.join(kept, known["doc_id"] == kept["kept_id"], "left_semi").withColumn("strandex_rank", F.row_number().over(first)).where("strandex_rank = 1").drop("strandex_rank")
     return one.unionByName(docs.where("doc_id is null"))
 
 
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """``keep_one`` by fingerprints alone."""
+    return keep_one(docs, near_duplicates(docs))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.table(spark, sf_dir, "documents")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
