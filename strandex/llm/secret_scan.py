@@ -1,7 +1,9 @@
 """Secret scan: key patterns, plus a token-efficiency test for random strings.
 
 A vocabulary learnt from text spends few tokens on text and many on noise, so a
-run of key characters with few characters to a token is a likely secret.
+run of key characters with few characters to a token is a likely secret.  The
+whole run is tested, the parts between separators, and windows inside it, so
+that a key joined to words isn't averaged away.
 Digests of known lengths, digits, identifiers (UUIDs, dotted or slashed names,
 words) are not.  Spans are in code points, end exclusive.
 
@@ -25,8 +27,13 @@ BASE = (
     ("hex", re.compile(r"[0-9a-f]+"), 0, 32),
 )
 KINDS = ("assign", "access", "hex", "random")
-#: Characters of a run that the efficiency test looks at, at least, and of a token in a random run, at most.
-LEAST, RATIO = 20, 1.9
+#: Characters of a run or part that the efficiency test looks at, at least, and of a token in a random one, at most.
+LEAST, RATIO = 16, 1.9
+#: Least characters of a part of letters of one case: shorter words of some languages have as low a ratio.
+ONE_CASE = 20
+#: Characters of a window, its step, and its ratio at most.
+WINDOW, STEP, WINDOW_RATIO = 20, 4, 1.6
+_PART = re.compile(r"[A-Za-z0-9]{%d,}" % LEAST)
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST)
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)\Z")
@@ -61,8 +68,41 @@ def known(run: str) -> bool:
     return all(p.isdigit() or p.isalpha() and p.islower() or p.isalpha() and p.isupper() or p.istitle() and p.isalpha() for p in pieces)
 
 
+def known_part(part: str) -> bool:
+    """A digest, a number or a short word; other letters are left to the ratio."""
+    return part.isdigit() or len(part) in DIGEST_DIGITS and bool(_DIGEST.match(part)) or part.isalpha() and len(part) < ONE_CASE and (part[1:].islower() or part.isupper())
+
+
+def run_spans(run: str, encode, ratio: float = RATIO) -> list[tuple[int, int]]:
+    """What of a run looks random: all of it, or else parts and stretches of windows, in order and apart."""
+    if _UUID.match(run) or len(run) in DIGEST_DIGITS and _DIGEST.match(run):
+        return []
+    if not known(run) and len(run) <= ratio * len(encode(run)):
+        return [(0, len(run))]
+    found, safe = [], []
+    for m in _PART.finditer(run):
+        if known_part(m[0]):
+            safe.append(m.span())
+        elif len(m[0]) <= ratio * len(encode(m[0])):
+            found.append(m.span())
+    settled = [*safe, *found]
+    for at in sorted({*range(0, len(run) - WINDOW, STEP), len(run) - WINDOW}) if len(run) > WINDOW else ():
+        if any(s < at + WINDOW and at < e for s, e in settled):
+            continue
+        window = run[at : at + WINDOW]
+        if not known(window) and WINDOW <= WINDOW_RATIO * len(encode(window)):
+            found.append((at, at + WINDOW))
+    out = []
+    for s, e in sorted(found):
+        if out and s <= out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
+
+
 def random_spans(text: str, encode, ratio: float = RATIO) -> list[tuple[str, int, int]]:
-    return [("random", m.start(), m.end()) for m in _RUN.finditer(text) if not known(m[0]) and len(m[0]) <= ratio * len(encode(m[0]))]
+    return [("random", m.start() + s, m.start() + e) for m in _RUN.finditer(text) for s, e in run_spans(m[0], encode, ratio)]
 
 
 def all_spans(text: str, encode) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
