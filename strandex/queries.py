@@ -323,7 +323,7 @@ _query("rin_cut_residues", f"""with recursive {pseudo.SQL}, {_RUNS}, {_GROUPS},
 select distinct a.sid, a.u as id from adj a join adj b on a.sid = b.sid and a.u = b.u and a.v < b.v where not exists (select 1 from reach r where r.sid = a.sid and r.cut = a.u and r.start = a.v and r.v = b.v)""")(lambda a: network.cut_residues(_edges(a)))
 _query("rin_top_hubs")(lambda a: network.top_hubs(network.nodes(e := _edges(a), a), network.betweenness(e)))
 _query("rin_top_components")(lambda a: network.top_components(network.components(_edges(a))))
-_query("rin_layout")(lambda a: network.layouts(_edges(a), 50))
+_query("rin_layout")(lambda a: network.layouts(_edges(a)))
 _query("rin_kind_rollup", f"""{_NET} select sid, kind, count(*) as n_edges, cast(sum("count") as bigint) as n_contacts, round(sum(energy), 4) as energy from edge group by rollup (sid, kind)""")(lambda a: network.rollup(_edges(a)))
 _query("edge_intensity", f"{_NET} select sid, source, target, kind, round(0.4 + 0.6 * ln(1 + energy) / ln(1 + max(energy) over (partition by sid)), 6) as intensity from edge")(
     lambda a: _edges(a).select("sid", "source", "target", "kind", F.round(scalars.edge_intensity(F.col("energy"), F.max("energy").over(Window.partitionBy("sid"))), 6).alias("intensity")))
