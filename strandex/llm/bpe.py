@@ -5,17 +5,19 @@ into a minimal acyclic automaton: words that end alike share their states, and
 the number of words that pass below each state gives every word its rank,
 under which its ids are stored.  The arrays are written to one file of the
 shared folder, which workers memory-map.  Words outside the lexicon are merged
-exactly, pair by pair in rank order.  Words are the stretches between white
-space, which no token of this vocabulary crosses; a bounded memo in front keeps
-what was looked up last.
-
-Null and empty texts encode to nothing.  An empty corpus gives an empty
-lexicon; every word is then merged.  Words that tie in frequency are all in the
-lexicon or all out of it.
+exactly, pair by pair in rank order.  Words are the vocabulary's pre-tokens,
+across which it never merges; a bounded memo in front keeps what was looked up
+last.
+
+Null and empty texts encode to nothing; very long ones are handled as a whole.
+Repeated rows are encoded alike, each in its own row.  An empty corpus gives an
+empty lexicon; every word is then merged.  Words that tie in frequency are all
+in the lexicon or all out of it.
 """
 
 from __future__ import annotations
 
+import gc
 import heapq
 import json
 import re
@@ -24,6 +26,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,13 +39,14 @@ LEXICON_WORDS, MEMO_WORDS, WORD_BYTES = 131_072, 200_000, 64
 SHORT_PIECE, NO_RANK = 64, 1 << 30
 #: Pieces merged at once.
 MERGE_ROWS = 8192
-#: Distinct words a task counts before it passes the counts on.
-COUNT_WORDS = 150_000
+#: Distinct words a task counts before it passes the counts on; characters of text encoded at once.
+COUNT_WORDS, BLOCK_BYTES = 200_000, 2 << 20
 #: Fixed value: Unicode's White_Space, as the vocabulary's \\s has it.
 _SPACES = "\t\n\v\f\r \x85\xa0  -     　"
-_SPLIT = re.compile(f"[{_SPACES}]+")
-#: Characters that str.split() takes for white space and the vocabulary does not.
-_ODD_SPACE = re.compile("[\x1c-\x1f]")
+#: Letters beside a-z that texts of ASCII and these can be cut with a plain pattern; the pattern, and what rules it out.
+_LETTERS = "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿßœ"
+_PLAIN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[a-z{_LETTERS}]+|[0-9]|[^\t-\r a-z0-9{_LETTERS}]+").findall
+_BEYOND = re.compile(rf"[^\x00-\x7F{_LETTERS}]").search
 
 
 def default_vocabulary() -> str:
@@ -70,8 +74,9 @@ class Vocabulary:
         self.ranks = {tuple(x if isinstance(x, list) else x.split(" ")): i for i, x in enumerate(model["merges"])}
         self.special = {x["content"]: x["id"] for x in data["added_tokens"]}
         self.names = {i: x for x, i in [*self.ids.items(), *self.special.items()]}
+        self.id_texts = {i: str(i) for i in self.names}
         pattern = data["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.pieces = regex.compile(pattern.replace(r"\s", _SPACES)).findall
+        self._pieces = regex.compile(pattern.replace(r"\s", _SPACES)).findall
         self.letters = byte_letters()
         self._tables()
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else lambda x: [x]
@@ -163,41 +168,40 @@ class Vocabulary:
                 column, symbols, ranks = column[:wide], symbols[:, :wide], ranks[:, :wide]
         return out
 
-    def normal(self, word: str) -> str:
+    def normal(self, text: str) -> str:
         """NFC, then each character's own lower case: sigma has no special form at a word's end."""
-        if word.isascii():
-            return word.lower()
-        return unicodedata.normalize("NFC", word).replace("Σ", "σ").lower()
-
-    def encode_word(self, word: str) -> list[int]:
-        """The ids of a stretch without white space."""
-        return [i for piece in self.pieces(self.normal(word)) for i in self.merge(piece)]
-
-    def encode_words(self, words: list[str]) -> list[list[int]]:
-        """``encode_word`` of many, each distinct short piece merged once."""
-        pieces = [[x.encode("utf-8", "surrogatepass") for x in self.pieces(self.normal(w))] for w in words]
-        short = list({x for p in pieces for x in p if len(x) <= SHORT_PIECE})
-        short.sort(key=len)
-        found: dict[bytes, list[int]] = {}
+        if text.isascii():
+            return text.lower()
+        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+
+    def cut(self, text: str) -> list[str]:
+        """The pre-tokens of a text without special tokens."""
+        text = self.normal(text)
+        return self._pieces(text) if _BEYOND(text) else _PLAIN(text)
+
+    def words(self, text: str) -> list:
+        """The pre-tokens of a text in order; special tokens as their ids."""
+        if "<|" not in text:
+            return self.cut(text)
+        return [x for part in self.split_special(text) for x in ((self.special[part],) if part in self.special else self.cut(part))]
+
+    def merge_all(self, pieces: list[bytes]) -> list[list[int]]:
+        """``merge`` of many pre-tokens: short ones together, by length, long ones each."""
+        out: list[list[int]] = [[]] * len(pieces)
+        order = sorted(range(len(pieces)), key=lambda i: len(pieces[i]))
+        short = [i for i in order if len(pieces[i]) <= SHORT_PIECE]
         for at in range(0, len(short), MERGE_ROWS):
             some = short[at : at + MERGE_ROWS]
-            found.update(zip(some, self.merge_many(some), strict=True))
-        return [[i for x in p for i in (found[x] if x in found else self.merge(x.decode("utf-8", "surrogatepass")))] for p in pieces]
+            for i, ids in zip(some, self.merge_many([pieces[i] for i in some]), strict=True):
+                out[i] = ids
+        for i in order[len(short) :]:
+            out[i] = self.merge(pieces[i].decode("utf-8", "surrogatepass"))
+        return out
 
     def decode(self, ids: list[int]) -> str:
         """Without a decoder the tokens are joined by spaces."""
         return " ".join(map(self.names.__getitem__, ids))
 
-    def stretches(self, text: str):
-        """Stretches between white space in order; special tokens as their ids."""
-        for part in self.split_special(text) if "<|" in text else (text,):
-            if part in self.special:
-                yield from (self.special[part],)
-            elif _ODD_SPACE.search(part):
-                yield from (x for x in _SPLIT.split(part) if x)
-            else:
-                yield from part.split()
-
 
 def vocabulary(path: str) -> Vocabulary:
     return common.held("bpe", ("vocabulary", path), lambda: Vocabulary(path))
@@ -316,31 +320,50 @@ class Lexicon:
 
 
 class Encoder:
+    """The lexicon in front of exact merging.
+
+    What is known of a word is (number of ids, ids joined, tokens joined).
+    Words of the lexicon stay once looked up; when the memo is full, of the
+    others those stay that were met again.
+    """
+
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None, memo_words: int = MEMO_WORDS):
         self.vocabulary, self.lexicon, self.most = vocabulary, lexicon, memo_words
         self.memo: dict = {}
+        self.frequent: dict = {}
+        self.again: set = set()
+
+    def _entry(self, ids: list[int]) -> tuple[int, str, str]:
+        return len(ids), " ".join([self.vocabulary.id_texts[i] for i in ids]), self.vocabulary.decode(ids)
 
     def _learn(self, words: list) -> None:
-        """Put (number of ids, ids joined, tokens joined) of stretches or special ids into the memo."""
+        """Put words or special ids into the memo."""
+        self.memo.update((w, self._entry([w])) for w in words if not isinstance(w, str))
         texts = [w for w in words if isinstance(w, str)]
-        ids: dict = {w: [w] for w in words if not isinstance(w, str)}
-        ranks = self.lexicon.rank([w.encode("utf-8", "surrogatepass") for w in texts]).tolist() if self.lexicon else [-1] * len(texts)
-        ids.update((w, self.lexicon.get(r)) for w, r in zip(texts, ranks, strict=True) if r >= 0)
-        rest = [w for w, r in zip(texts, ranks, strict=True) if r < 0]
-        ids.update(zip(rest, self.vocabulary.encode_words(rest), strict=True))
-        self.memo.update((w, (len(x), " ".join(map(str, x)), self.vocabulary.decode(x))) for w, x in ids.items())
+        raw = [w.encode("utf-8", "surrogatepass") for w in texts]
+        ranks = self.lexicon.rank(raw).tolist() if self.lexicon else [-1] * len(raw)
+        found = {w: self._entry(self.lexicon.get(r)) for w, r in zip(texts, ranks, strict=True) if r >= 0}
+        self.frequent.update(found)
+        self.memo.update(found)
+        rest = [i for i, r in enumerate(ranks) if r < 0]
+        for i, ids in zip(rest, self.vocabulary.merge_all([raw[i] for i in rest]), strict=True):
+            self.memo[texts[i]] = self._entry(ids)
 
     def encode_many(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """Of each text: the number of ids, the ids joined by spaces, and the decoded text."""
-        split = [list(self.vocabulary.stretches(x)) if "<|" in x or _ODD_SPACE.search(x) else x.split() for x in texts]
-        needed = set().union(*split)
-        if len(self.memo) + len(needed) > self.most:
-            self.memo = {w: x for w in needed if (x := self.memo.get(w))}
-        self._learn([w for w in needed if w not in self.memo])
+        cut = [self.vocabulary.words(x) for x in texts]
+        needed = set().union(*cut)
+        met = self.memo.keys() & needed
+        self.again |= met - self.frequent.keys()
+        if len(self.memo) + len(needed) > self.most + len(self.frequent):
+            stay = self.again if len(self.again) + len(needed) <= self.most else met
+            self.memo = self.frequent | {w: self.memo[w] for w in stay}
+            self.again = set()
+        self._learn(list(needed - met))
         get, out = self.memo.__getitem__, []
-        for words in split:
-            found = [x for x in map(get, words) if x[0]]
-            out.append((sum(x[0] for x in found), " ".join([x[1] for x in found]), " ".join([x[2] for x in found])))
+        for words in cut:
+            found = list(map(get, words))
+            out.append((sum([x[0] for x in found]), " ".join([x[1] for x in found]), " ".join([x[2] for x in found])))
         return out
 
     def encode(self, text: str) -> tuple[int, str, str]:
@@ -348,33 +371,35 @@ class Encoder:
 
 
 def frequent_words(docs: DataFrame, path: str, most: int = LEXICON_WORDS) -> DataFrame:
-    """word, n: the most frequent stretches of all texts, at most ``most``, counted in each task first.
+    """word, n: the most frequent words of all texts, at most ``most``, counted in each task first.
 
-    The least count that is still in is read off the histogram of counts, so no
-    task sends its own ``most`` words; of a count that doesn't fit as a whole
-    none is taken.
+    The least count that is still in is read off the histogram of counts, whose
+    bars are single counts up to 1,024 and then the leading ten bits, so a bounded
+    number of rows reaches the driver; of a bar that doesn't fit as a whole none
+    is taken.
     """
 
     def count(batches):
         known, seen = vocabulary(path), Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                seen.update(w for w in known.stretches(text) if not isinstance(w, int)) if "<|" in text else seen.update(text.split())
+                seen.update(known.cut(text) if "<|" not in text else [w for w in known.words(text) if isinstance(w, str)])
                 if len(seen) > COUNT_WORDS:
                     yield rows(seen)
                     seen = Counter()
         yield rows(seen)
 
     def rows(seen):
-        kept = [(w, n) for w, n in seen.items() if len(w) <= WORD_BYTES // 4 or len(w.encode("utf-8", "surrogatepass")) <= WORD_BYTES]
-        return pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], names=["word", "n"])
+        found = pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], names=["word", "n"])
+        return found.filter(pc.less_equal(pc.binary_length(found.column(0)), WORD_BYTES))
 
     counted = common.texts(docs).select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     path_ = common.shared_dir(docs.sparkSession, "word-counts")
     counted.write.parquet(path_)
     counted = docs.sparkSession.read.parquet(path_)
+    bar = F.expr("shiftleft(shiftright(n, greatest(length(bin(n)) - 10, 0)), greatest(length(bin(n)) - 10, 0))")
     least, size = None, 0
-    for n, k in sorted(((r.n, r.k) for r in counted.groupBy("n").agg(F.count("*").alias("k")).collect()), reverse=True):  # a row for each count that occurs
+    for n, k in sorted(((r.n, r.k) for r in counted.groupBy(bar.alias("n")).agg(F.count("*").alias("k")).collect()), reverse=True):
         if (size := size + k) > most:
             break
         least = n
@@ -384,9 +409,9 @@ def frequent_words(docs: DataFrame, path: str, most: int = LEXICON_WORDS) -> Dat
 def write_lexicon(docs: DataFrame, path: str, most: int = LEXICON_WORDS) -> str:
     """Compile the frequent words, at most ``most``, and write the file; returns its folder."""
     known = vocabulary(path)
-    words = [r[0] for r in frequent_words(docs, path, most).collect()]  # at most ``most`` short words
+    words = [r[0].encode("utf-8", "surrogatepass") for r in frequent_words(docs, path, most).collect()]  # at most ``most`` short words
     folder = common.shared_dir(docs.sparkSession, "lexicon")
-    common.put_file(folder, "lexicon", compile_lexicon([(w.encode("utf-8", "surrogatepass"), known.encode_word(w)) for w in words]))
+    common.put_file(folder, "lexicon", compile_lexicon([(w, ids) for w, ids in zip(words, known.merge_all(words), strict=True)]))
     return folder
 
 
@@ -405,8 +430,10 @@ def encode_documents(docs: DataFrame, path: str | None = None, lexicon_words: in
         e = encoder(path, folder)
         for batch in batches:
             values = batch.column(1).to_pylist()
-            for at, stop in common.chunked(values):  # what a batch holds besides its input stays small
+            for at, stop in common.chunked(values, BLOCK_BYTES):  # what a batch holds besides its input stays small
+                gc.disable()  # many small tuples and no cycles
                 got = e.encode_many(values[at:stop])
+                gc.enable()
                 a, b = ([g[1] for g in got], [g[2] for g in got]) if with_ids else ([common.sha_hex(g[1].encode()) for g in got], [common.sha_hex(g[2].encode()) for g in got])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(got)), pa.array([g[0] for g in got], pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=names)
 

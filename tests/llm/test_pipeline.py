@@ -32,7 +32,7 @@ def test_stages_keep_columns_and_take_effect(spark, tmp_path):
     v = bpe.vocabulary(bpe.default_vocabulary())
     for i, r in clean.items():
         assert redacted[i].text == secret_scan.redact(r.text, secret_scan.all_spans(r.text, encode)[1])
-        ids = [x for w in v.stretches(redacted[i].text) for x in (v.encode_word(w) if isinstance(w, str) else [w])]
+        ids = [x for w in v.words(redacted[i].text) for x in (v.merge(w) if isinstance(w, str) else [w])]
         assert encoded[i].ids == " ".join(map(str, ids)) and encoded[i].n_tokens == len(ids)
     run = {r.doc_id: r for r in corpus_pipeline.run(spark, SF).collect()}
     assert {i: r.ids for i, r in run.items()} == {i: r.ids for i, r in encoded.items()}
