@@ -370,8 +370,8 @@ class Encoder:
         return self.encode_many([text])[0]
 
 
-def frequent_words(docs: DataFrame, path: str, most: int = LEXICON_WORDS) -> DataFrame:
-    """word, n: the most frequent words of all texts, at most ``most``, counted in each task first.
+def frequent_words(docs: DataFrame, path: str, most: int = LEXICON_WORDS) -> list[str]:
+    """The most frequent words of all texts, at most ``most``, counted in each task first.
 
     The least count that is still in is read off the histogram of counts, whose
     bars are single counts up to 1,024 and then the leading ten bits, so a bounded
@@ -394,22 +394,22 @@ def frequent_words(docs: DataFrame, path: str, most: int = LEXICON_WORDS) -> Dat
         return found.filter(pc.less_equal(pc.binary_length(found.column(0)), WORD_BYTES))
 
     counted = common.texts(docs).select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    path_ = common.shared_dir(docs.sparkSession, "word-counts")
-    counted.write.parquet(path_)
-    counted = docs.sparkSession.read.parquet(path_)
+    counted, folder = common.stored(counted, "word-counts")
     bar = F.expr("shiftleft(shiftright(n, greatest(length(bin(n)) - 10, 0)), greatest(length(bin(n)) - 10, 0))")
     least, size = None, 0
     for n, k in sorted(((r.n, r.k) for r in counted.groupBy(bar.alias("n")).agg(F.count("*").alias("k")).collect()), reverse=True):
         if (size := size + k) > most:
             break
         least = n
-    return counted.where(F.lit(False) if least is None else F.col("n") >= least)
+    found = [r[0] for r in counted.where(F.lit(False) if least is None else F.col("n") >= least).select("word").collect()]
+    common.drop(docs.sparkSession, folder)
+    return found
 
 
 def write_lexicon(docs: DataFrame, path: str, most: int = LEXICON_WORDS) -> str:
     """Compile the frequent words, at most ``most``, and write the file; returns its folder."""
     known = vocabulary(path)
-    words = [r[0].encode("utf-8", "surrogatepass") for r in frequent_words(docs, path, most).collect()]  # at most ``most`` short words
+    words = [w.encode("utf-8", "surrogatepass") for w in frequent_words(docs, path, most)]
     folder = common.shared_dir(docs.sparkSession, "lexicon")
     common.put_file(folder, "lexicon", compile_lexicon([(w, ids) for w, ids in zip(words, known.merge_all(words), strict=True)]))
     return folder

@@ -7,7 +7,10 @@ an operator says otherwise; a null ``doc_id`` is kept as null.
 
 from __future__ import annotations
 
-import os
+import atexit
+import gc
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -42,20 +45,59 @@ def remainder(doc_id, modulus: int):
 def shared_dir(spark: SparkSession, what: str) -> str:
     """A new folder under spark.checkpoint.dir, which every executor and the driver see.
 
-    Only where that setting is absent (tests, local mode) a temporary folder is
-    made and set as the checkpoint folder.
+    Where that setting is absent a folder in the warehouse takes its place, in
+    local mode a temporary one.  What is left of the folders goes when the
+    driver ends.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = _local_shared()
+        base = _local_shared() if spark.sparkContext.master.startswith("local") else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/strandex-shared"
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    folder = f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(_clean)
+    _made.append(folder)
+    return folder
+
+
+_made: list[str] = []
+
+
+def drop(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that nothing will read again."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if folder in _made:
+        _made.remove(folder)
+
+
+def _clean() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is None or spark.sparkContext._jsc is None:
+        return
+    for folder in list(_made):
+        drop(spark, folder)
 
 
 @lru_cache(1)
 def _local_shared() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="strandex-shared-")
+    folder = tempfile.mkdtemp(prefix="strandex-shared-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return f"file://{folder}"
+
+
+def stored(df: DataFrame, what: str) -> tuple[DataFrame, str]:
+    """The frame written to a new shared folder and read again, and the folder."""
+    folder = shared_dir(df.sparkSession, what)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder), folder
+
+
+def release(spark: SparkSession) -> None:
+    """Give back shuffle files of jobs that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def parts(spark: SparkSession) -> int:
@@ -69,9 +111,10 @@ def shards(spark: SparkSession) -> int:
 
 
 def _filesystem(uri: str):
+    """File system and path of a URI as Spark writes it: file:/x, s3a://bucket/x, hdfs://host/x or a plain path."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri)
+    return fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", re.sub(r"^file:/+", "file:///", uri)))
 
 
 def put_file(folder: str, name: str, arrays: dict[str, np.ndarray]) -> None:
@@ -99,22 +142,22 @@ def list_files(folder: str) -> list[str]:
 def map_file(folder: str, name: str) -> dict[str, np.ndarray]:
     """The arrays of a shared file, memory-mapped.
 
-    A folder that is mounted (file://) is mapped in place; a file of an object
-    store is first copied next to the worker and mapped there.
+    A file of a mounted folder is mapped in place; one of an object store is
+    copied to a temporary file that is unlinked as soon as it is mapped.
     """
     import ast
 
-    path = f"{folder.removeprefix('file://')}/{name}"
-    if "://" in folder:
-        if not folder.startswith("file://"):
-            filesystem, remote = _filesystem(folder)
-            path = os.path.join(tempfile.gettempdir(), f"{os.path.basename(folder)}-{name}")
-            if not os.path.exists(path):
-                with filesystem.open_input_stream(f"{remote}/{name}") as src, open(f"{path}.{os.getpid()}", "wb") as out:
-                    while block := src.read(1 << 24):
-                        out.write(block)
-                os.replace(f"{path}.{os.getpid()}", path)
-    whole = np.memmap(path, np.uint8, "r")
+    from pyarrow import fs
+
+    filesystem, path = _filesystem(folder)
+    if isinstance(filesystem, fs.LocalFileSystem):
+        whole = np.memmap(f"{path}/{name}", np.uint8, "r")
+    else:
+        with tempfile.NamedTemporaryFile() as copy:
+            with filesystem.open_input_stream(f"{path}/{name}") as src:
+                shutil.copyfileobj(src, copy, 1 << 24)
+            copy.flush()
+            whole = np.memmap(copy.name, np.uint8, "r")
     size = int(whole[:8].view("<u8")[0])
     at, out = 8 + size + -size % 8, {}
     for key, kind, count in ast.literal_eval(bytes(whole[8 : 8 + size]).decode()):
@@ -146,7 +189,6 @@ def held(owner: str, key, make):
 def give_back() -> None:
     """Free memory that the allocator holds on to."""
     import ctypes
-    import gc
 
     gc.collect()
     try:

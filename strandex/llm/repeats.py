@@ -17,18 +17,25 @@ documents can't be its strings; what has to be compared is cut out first:
 3.  Segments that share an anchor but differ are strings of a collection,
     aligned at the anchor; only suffixes that start in one column can share a
     window, so the collection's columns are sorted one after the other.  They
-    are kept in an external file that is read in sequence, a column a round.
+    are kept in an external file that is written and read in sequence, a column
+    a round.
     Neighbours whose common prefix reaches ``LENGTH`` share a window there.
 4.  An anchor with more than ``HOT`` differing segments isn't sorted in one
     task: its windows go by their own hashes, each task passing on one of each.
 
+Passages are found in the same way over words instead of bytes: a text becomes
+a symbol of four bytes for each word (a run of bytes outside ASCII white space),
+and strings of more than 50 words that occur elsewhere are reported, whatever
+their length in bytes.  They are marked, not removed.
+
 Null texts count as empty; texts shorter than ``LENGTH`` bytes lose nothing;
-equal rows are copies of each other.  Judged on the input: what is removed still
-counts.
+equal rows are copies of each other; very long texts go in overlapping pieces.
+Judged on the input: what is removed still counts.  No documents: no rows.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 import numpy as np
@@ -41,8 +48,11 @@ from strandex.llm import common
 
 #: Bytes of a repeated string; bytes of an anchor; differing segments of one anchor that one task sorts.
 LENGTH, GRAM, HOT = 400, 32, 20_000
-#: Segments sorted together; bytes of text in which anchors are sought at once.
-COLLECTION, CHUNK = 16_384, 2 << 20
+#: Words of a repeated passage; bytes that stand for a word.
+PASSAGE, SYMBOL = 51, 4
+#: Segments sorted together; bytes of text in which anchors are sought at once; bytes of one text handled as a whole; columns written together.
+COLLECTION, CHUNK, PIECE, COLUMNS = 16_384, 2 << 20, 8 << 20, 64
+_SPACE = re.compile(rb"[\x20\t-\r]")
 _PLACE = np.uint64(24)
 
 
@@ -52,6 +62,24 @@ def text_key(raw: bytes) -> tuple[int, int]:
     return tuple(y - (1 << 64) if y >> 63 else y for y in (x >> 64, x & (1 << 64) - 1))
 
 
+def plain(raw: list[bytes]) -> list[bytes]:
+    return raw
+
+
+def word_symbols(raw: list[bytes]) -> list[bytes]:
+    """Four bytes of each word's hash for each text."""
+    out = []
+    for x in raw:
+        found, at = [], 0
+        while at < len(x):  # a very long text by pieces that end at white space
+            end = _SPACE.search(x, at + PIECE)
+            stop = end.start() if end else len(x)
+            found.append((common.word_hashes(np.frombuffer(x[at:stop], np.uint8))[2] >> np.uint64(32)).astype("<u4").tobytes())
+            at = stop
+        out.append(b"".join(found))
+    return out
+
+
 def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     """The least of each ``width`` consecutive values: running minima of blocks from both ends."""
     n = len(x) - width + 1
@@ -102,18 +130,21 @@ def column_sort(strings: list[bytes], anchors: np.ndarray, groups: np.ndarray, l
     left = int(anchors.max())
     wide = int((size - anchors).max()) + left
     shift = left - anchors
-    with tempfile.TemporaryFile() as file:
-        columns = np.memmap(file, np.int16, "w+", shape=(wide, m))  # one column of the collection a row; -1: none
-        for lo in range(0, m, 2048):
-            part = np.full((min(2048, m - lo), wide), -1, np.int16)
-            for k, x in enumerate(strings[lo : lo + 2048]):
-                part[k, shift[lo + k] : shift[lo + k] + len(x)] = np.frombuffer(x, np.uint8)
-            columns[:, lo : lo + 2048] = part.T
+    with tempfile.TemporaryFile() as file:  # the collection's columns from the last to the first; -1: none
+        for hi in range(wide, 0, -COLUMNS):
+            lo = max(0, hi - COLUMNS)
+            part = np.full((m, hi - lo), -1, np.int16)
+            for k, (x, at) in enumerate(zip(strings, shift.tolist(), strict=True)):
+                if (some := x[max(0, lo - at) : max(0, hi - at)]):
+                    begin = max(at, lo) - lo
+                    part[k, begin : begin + len(some)] = np.frombuffer(some, np.uint8)
+            file.write(np.ascontiguousarray(part.T[::-1]).tobytes())
+        file.seek(0)
         order, common_ = np.arange(m), np.zeros(m, np.int32)
         group_key = groups.astype(np.int64) << 9
         met = np.zeros((max(0, wide - length + 1), m), bool)
         for j in range(wide - 1, -1, -1):
-            symbol = columns[j]
+            symbol = np.frombuffer(file.read(2 * m), np.int16)
             key = (group_key + symbol)[order]
             by = np.argsort(key, kind="stable")  # places in the old order
             key = key[by]
@@ -132,7 +163,6 @@ def column_sort(strings: list[bytes], anchors: np.ndarray, groups: np.ndarray, l
                 long = np.flatnonzero(common_ >= length)
                 met[j, order[long]] = True
                 met[j, order[long - 1]] = True
-        del columns
     edge = np.zeros((1, m), np.int8)
     turn = np.diff(np.concatenate((edge, met.astype(np.int8), edge)), axis=0).T
     out: list[list[tuple[int, int]]] = [[] for _ in range(m)]
@@ -143,16 +173,6 @@ def column_sort(strings: list[bytes], anchors: np.ndarray, groups: np.ndarray, l
     return out
 
 
-def merged(spans: list[tuple[int, int]]) -> list[list[int]]:
-    out: list[list[int]] = []
-    for s, e in sorted(spans):
-        if out and s <= out[-1][1]:
-            out[-1][1] = max(e, out[-1][1])
-        else:
-            out.append([s, e])
-    return out
-
-
 _SEGMENT = pa.schema([("kind", pa.int32()), ("h", pa.int64()), ("digest", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64()), ("begin", pa.int64()), ("end", pa.int64()), ("anchor", pa.int64())])
 _SEGMENT_SQL = "kind int, h long, digest long, t1 long, t2 long, begin long, end long, anchor long"
 #: Kinds of segment rows: covered as a whole; to be compared; to be compared by windows.
@@ -163,23 +183,22 @@ def _rows(kind, h, digest, t1, t2, begin, end, anchor):
     return pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(np.int32(kind), len(h)) if np.isscalar(kind) else kind.astype(np.int32)), *(pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (h, digest, t1, t2, begin, end, anchor))], schema=_SEGMENT)
 
 
-def _find_segments(length: int):
+def _find_segments(length: int, view):
     def run(batches):
         for batch in batches:
-            raw = [x.encode("utf-8", "surrogatepass") for x in batch.column(0).to_pylist()]
+            raw = batch.column(0).to_pylist()
             for lo, hi in common.chunked(raw, CHUNK):
-                for x in _in_pieces(raw[lo:hi], length):
+                for x in _in_pieces(raw[lo:hi], length, view):
                     yield from x
 
     return run
 
 
-def _in_pieces(raw: list[bytes], length: int):
+def _in_pieces(raw: list[bytes], length: int, view=plain, step: int = PIECE):
     """Segment rows of some texts; a text too long for one pass goes in overlapping pieces."""
     keys = np.array([text_key(x) for x in raw], np.int64).reshape(-1, 2)
     pieces, owner, offset = [], [], []
-    step = 8 << 20
-    for k, x in enumerate(raw):
+    for k, x in enumerate(view(raw)):
         for at in range(0, max(1, len(x) - length + 1), step):
             pieces.append(x[at : at + step + length - 1])
             owner.append(k)
@@ -250,7 +269,7 @@ _CUT = pa.schema([("key", pa.int64()), ("check", pa.int64()), ("piece", pa.binar
 _CUT_SQL = "key long, check long, piece binary, t1 long, t2 long, begin long, anchor long"
 
 
-def _cut_out(length: int):
+def _cut_out(length: int, view):
     """Bytes of the segments to compare; of crowded ones the hashes of the windows (piece is null), one of each in a task's batch."""
 
     def run(batches):
@@ -258,7 +277,7 @@ def _cut_out(length: int):
             keys, checks, pieces, one, two, begins, anchors = ([] for _ in range(7))
             wide: list[np.ndarray] = []
             for text, t1, t2, needs in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                raw = text.encode("utf-8", "surrogatepass")
+                (raw,) = view([text])
                 for need in needs:
                     s, e = need["begin"], need["end"]
                     if need["kind"] == DIFFERS:
@@ -344,52 +363,120 @@ def _compare(length: int):
     return run
 
 
-def _stored(df: DataFrame, what: str) -> DataFrame:
-    path = common.shared_dir(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+def _keyed(once: bool):
+    """Raw texts with their keys; ``once``: each text once a task."""
 
+    def run(batches):
+        seen: set[tuple[int, int]] = set()
+        for batch in batches:
+            keys = [text_key(x) for x in batch.column(1).to_pylist()]
+            k = np.array(keys, np.int64).reshape(-1, 2)
+            out = pa.RecordBatch.from_arrays([*batch.columns, pa.array(k[:, 0].copy()), pa.array(k[:, 1].copy())], names=["doc_id", "raw", "t1", "t2"])
+            if once:
+                new = [x not in seen and not seen.add(x) for x in keys]
+                out = out.filter(pa.array(new, pa.bool_()))
+            yield out
+
+    return run
+
+
+_RUNS = pa.schema([("t1", pa.int64()), ("t2", pa.int64()), ("kind", pa.int32()), ("spans", pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])))])
 
-def covered(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
-    """The columns doc_id, text and ``spans``: an array of (begin, end), in bytes, covered by repeated strings (unmerged, null if none)."""
-    n = common.parts(docs.sparkSession)
-    texts = common.texts(docs)
-    found = _stored(texts.select("text").mapInArrow(_find_segments(length), _SEGMENT_SQL), "repeats-segments")
-    met = found.where(f"kind = {DIFFERS}").repartition(n, "h").sortWithinPartitions("h", "digest").mapInArrow(_meet(hot), _SEGMENT_SQL)
-    met = _stored(met, "repeats-met")
 
-    def keyed(batches):
+def _merge_runs(kind: int):
+    """Spans sorted by text and begin, merged: a row for each text."""
+
+    def run(batches):
+        held = [np.zeros(0, np.int64)] * 4  # the spans of the last text so far
+
+        def out(c):
+            t1, t2, begin, end = c
+            new = np.ones(len(t1), bool)
+            new[1:] = (t1[1:] != t1[:-1]) | (t2[1:] != t2[:-1])
+            group = np.cumsum(new) - 1
+            reach = np.maximum.accumulate((group << 40) + end) - (group << 40)  # the furthest end so far of the text
+            fresh = new.copy()
+            fresh[1:] |= begin[1:] > reach[:-1]
+            at = np.flatnonzero(fresh)
+            stop = reach[np.append(at[1:], len(t1)) - 1]
+            texts = np.flatnonzero(new[at])
+            spans = pa.StructArray.from_arrays([pa.array(begin[at]), pa.array(stop)], ["begin", "end"])
+            lists = pa.ListArray.from_arrays(pa.array(np.append(texts, len(at)).astype(np.int32)), spans)
+            return [x[at] for x in (t1, t2)] + [begin[at], stop], pa.RecordBatch.from_arrays([pa.array(t1[at][texts]), pa.array(t2[at][texts]), pa.array(np.full(len(texts), kind, np.int32)), lists], schema=_RUNS)
+
         for batch in batches:
-            k = np.array([text_key(x.encode("utf-8", "surrogatepass")) for x in batch.column(1).to_pylist()], np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(k[:, 0].copy()), pa.array(k[:, 1].copy())], names=["doc_id", "text", "t1", "t2"])
+            c = [np.concatenate((x, batch.column(i).to_numpy(zero_copy_only=False))) for i, x in enumerate(held)]
+            if not len(c[0]):
+                continue
+            last = int(np.flatnonzero((c[0] != c[0][-1]) | (c[1] != c[1][-1]))[-1]) + 1 if ((c[0] != c[0][-1]) | (c[1] != c[1][-1])).any() else 0
+            if last:
+                yield out([x[:last] for x in c])[1]
+            held = out([x[last:] for x in c])[0]
+        if len(held[0]):
+            yield out(held)[1]
+
+    return run
 
-    by_text = texts.mapInArrow(keyed, "doc_id long, text string, t1 long, t2 long")
+
+def _repeated(texts: DataFrame, length: int, hot: int, view, kind: int) -> DataFrame:
+    """t1, t2, kind, spans: the merged spans of each text's view that are covered by repeated strings; written to a shared folder."""
+    spark = texts.sparkSession
+    n = common.parts(spark)
+    found, one = common.stored(texts.select("raw").mapInArrow(_find_segments(length, view), _SEGMENT_SQL), "repeats-segments")
+    met = found.where(f"kind = {DIFFERS}").repartition(n, "h").sortWithinPartitions("h", "digest").mapInArrow(_meet(hot), _SEGMENT_SQL)
+    met, two = common.stored(met, "repeats-met")
+    common.release(spark)
+    by_text = texts.mapInArrow(_keyed(True), "doc_id long, raw binary, t1 long, t2 long")
     needs = met.where(f"kind <> {COVERED}").groupBy("t1", "t2").agg(F.collect_list(F.struct("kind", "h", "begin", "end", "anchor")).alias("needs"))
-    pieces = by_text.join(needs.hint("shuffle_hash"), ["t1", "t2"]).select("text", "t1", "t2", "needs").mapInArrow(_cut_out(length), _CUT_SQL)
+    pieces = by_text.join(needs.hint("shuffle_hash"), ["t1", "t2"]).select("raw", "t1", "t2", "needs").mapInArrow(_cut_out(length, view), _CUT_SQL)
     compared = pieces.repartition(n, "key").sortWithinPartitions("key", "check").mapInArrow(_compare(length), "t1 long, t2 long, begin long, end long")
     whole = found.union(met).where(f"kind = {COVERED}").select("t1", "t2", "begin", "end")
-    spans = whole.union(compared).groupBy("t1", "t2").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
-    return by_text.join(spans.hint("shuffle_hash"), ["t1", "t2"], "left").select("doc_id", "text", "spans")
+    runs = whole.union(compared).repartition(n, "t1", "t2").sortWithinPartitions("t1", "t2", "begin").mapInArrow(_merge_runs(kind), "t1 long, t2 long, kind int, spans array<struct<begin:long,end:long>>")
+    runs, _ = common.stored(runs, "repeats-runs")
+    for folder in (one, two):
+        common.drop(spark, folder)
+    del found, met, by_text, needs, pieces, compared, whole
+    common.release(spark)
+    return runs
+
+
+def covered(docs: DataFrame, length: int = LENGTH, hot: int = HOT, passage: int = PASSAGE) -> DataFrame:
+    """doc_id, raw (the text's bytes) and ``runs``: for kind 0 the spans of bytes, for kind 1 those of word symbols' bytes (null if none)."""
+    texts = common.texts(docs).select("doc_id", F.col("text").cast("binary").alias("raw"))
+    runs = _repeated(texts, length, hot, plain, 0).union(_repeated(texts, SYMBOL * passage, hot, word_symbols, 1))
+    of_text = runs.groupBy("t1", "t2").agg(F.collect_list(F.struct("kind", "spans")).alias("runs"))  # two at most
+    return texts.mapInArrow(_keyed(False), "doc_id long, raw binary, t1 long, t2 long").join(of_text.hint("shuffle_hash"), ["t1", "t2"], "left").select("doc_id", "raw", "runs")
+
+
+_SPANS = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
+
 
+def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT, passage: int = PASSAGE) -> DataFrame:
+    """doc_id, n_bytes, spans (removed runs), kept (the remaining bytes), passages (runs of words in repeated passages)."""
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
-    """doc_id, n_bytes, spans (removed runs), kept (the remaining bytes)."""
+    def words(spans):
+        runs = ((-(-s["begin"] // SYMBOL), s["end"] // SYMBOL) for s in spans)
+        return [{"begin": a, "end": b} for a, b in runs if b - a >= passage]
 
     def run(batches):
         for batch in batches:
-            values, spans = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            values, runs = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             for lo, hi in common.chunked(values):
                 out = []
-                for x, found in zip(values[lo:hi], spans[lo:hi], strict=True):
-                    raw, runs = x.encode("utf-8", "surrogatepass"), merged([(s["begin"], s["end"]) for s in found or ()])
-                    edges = [0, *(y for r in runs for y in r), len(raw)]
-                    out.append((len(raw), [{"begin": s, "end": e} for s, e in runs], b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), pa.array([x[2] for x in out], pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
+                for raw, found in zip(values[lo:hi], runs[lo:hi], strict=True):
+                    of = {x["kind"]: x["spans"] for x in found or ()}
+                    spans = of.get(0, [])
+                    edges = [0, *(y for s in spans for y in (s["begin"], s["end"])), len(raw)]
+                    out.append((len(raw), spans, b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)), words(of.get(1, ()))))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *(pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.int64(), _SPANS, pa.binary(), _SPANS)))], names=["doc_id", "n_bytes", "spans", "kept", "passages"])
 
-    return covered(docs, length, hot).mapInArrow(run, "doc_id long, n_bytes long, spans array<struct<begin:long,end:long>>, kept binary")
+    return covered(docs, length, hot, passage).mapInArrow(run, "doc_id long, n_bytes long, spans array<struct<begin:long,end:long>>, kept binary, passages array<struct<begin:long,end:long>>")
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeats(common.table(spark, sf_dir, "documents"))
-    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["begin"])
-    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    total = lambda spans: F.aggregate(spans, F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["begin"])
+    return found.select(
+        "doc_id", "n_bytes", total("spans").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+        total("passages").alias("n_passage_words"), F.size("passages").cast("long").alias("n_passages"),
+    )

@@ -182,6 +182,46 @@ def test_repeats_across_pieces_and_odd(odd, none):
     assert repeats.remove_repeats(none).count() == 0
 
 
+def brute_passages(docs, n):
+    """For each text its words in runs of ``n`` or more words that start anywhere else too."""
+    seen = Counter(tuple(w[p : p + n]) for _, w in docs for p in range(len(w) - n + 1))
+    out = defaultdict(set)
+    for i, w in docs:
+        hit = np.zeros(len(w) + 1, bool)
+        for p in range(len(w) - n + 1):
+            if seen[tuple(w[p : p + n])] > 1:
+                hit[p : p + n] = True
+        out[i].add((int(hit.sum()), int((np.diff(hit.astype(int), prepend=0) == 1).sum())))
+    return out
+
+
+@pytest.mark.parametrize("hot", [20_000, 3])
+def test_passages_fuzz(make, hot):
+    r = random.Random(5)
+    base = [prose(i, r.randint(0, 60)) for i in range(25)]
+    texts = [None, "", "a " * 200, "a\tb\n" * 30, prose(1, 11)]
+    for _ in range(120):
+        x, y = r.choice(base).split(), r.choice(base).split()
+        texts.append(r.choice([" ", "\n", " \t"]).join([*x[r.randint(0, len(x)) :], *y[: r.randint(0, len(y))], *["zz", str(r.random())] * r.randint(0, 2)]))
+    want = brute_passages([(i, (t or "").encode().split()) for i, t in enumerate(texts)], 12)
+    for row in repeats.remove_repeats(make(texts), 40, hot, 12).collect():
+        assert (sum(s.end - s.begin for s in row.passages), len(row.passages)) in want[row.doc_id], texts[row.doc_id]
+
+
+def test_pieces_of_long_texts():
+    """Texts cut into overlapping pieces have the windows of whole ones."""
+    r = random.Random(9)
+    raw = ["".join(r.choice("abcd ") for _ in range(n)).encode() for n in (5_000, 90, 3_000)]
+    covers = lambda step: sorted((int(t), int(p)) for x in repeats._in_pieces(raw, 64, step=step) for b in x[:1] for t, s, e in zip(*(b.column(i).to_pylist() for i in (3, 5, 6)), strict=True) for p in range(s, e - 63))
+    assert set(covers(200)) == set(covers(1 << 20))
+    old, repeats.PIECE = repeats.PIECE, 100
+    try:
+        small = repeats.word_symbols(raw)
+    finally:
+        repeats.PIECE = old
+    assert small == repeats.word_symbols(raw) and [len(x) // 4 for x in small] == [len(x.split()) for x in raw]
+
+
 def test_column_sort():
     strings = [b"xxabcdefgh", b"yabcdefzz", b"abcdefgh", b"abcdefgh"]
     # anchors at "c": windows of 6 bytes
