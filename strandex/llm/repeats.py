@@ -37,6 +37,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -183,6 +184,17 @@ def _rows(kind, h, digest, t1, t2, begin, end, anchor):
     return pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(np.int32(kind), len(h)) if np.isscalar(kind) else kind.astype(np.int32)), *(pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (h, digest, t1, t2, begin, end, anchor))], schema=_SEGMENT)
 
 
+def _once(columns: list[np.ndarray]) -> list[np.ndarray]:
+    """Each span of each text once."""
+    _, _, t1, t2, begin, end, _ = columns
+    order = np.lexsort((end, begin, t2, t1))
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for x in (t1, t2, begin, end):
+        new[1:] |= np.diff(x[order]) != 0
+    return [x[order[new]] for x in columns]
+
+
 def _find_segments(length: int, view):
     def run(batches):
         for batch in batches:
@@ -196,9 +208,16 @@ def _find_segments(length: int, view):
 
 def _in_pieces(raw: list[bytes], length: int, view=plain, step: int = PIECE):
     """Segment rows of some texts; a text too long for one pass goes in overlapping pieces."""
+    times = Counter(raw)
+    raw = list(times)
     keys = np.array([text_key(x) for x in raw], np.int64).reshape(-1, 2)
     pieces, owner, offset = [], [], []
-    for k, x in enumerate(view(raw)):
+    viewed = view(raw)
+    copied = np.array([k for k, (x, y) in enumerate(zip(raw, viewed, strict=True)) if times[x] > 1 and len(y) >= length], np.int64)
+    if len(copied):  # copies cover each other; one of them goes on
+        none, size = np.zeros(len(copied), np.int64), np.array([len(viewed[k]) for k in copied])
+        yield [_rows(COVERED, none, none, keys[copied, 0], keys[copied, 1], none, size, none)]
+    for k, x in enumerate(viewed):
         for at in range(0, max(1, len(x) - length + 1), step):
             pieces.append(x[at : at + step + length - 1])
             owner.append(k)
@@ -217,7 +236,7 @@ def _in_pieces(raw: list[bytes], length: int, view=plain, step: int = PIECE):
         twice[:-1] |= same[1:]
         one, full = order[~same], order[twice]  # one of each goes on; what occurs twice is covered
         columns = (s["h"], s["digest"], keys[of, 0], keys[of, 1], begin, end, s["anchor"])
-        yield [_rows(DIFFERS, *(x[one] for x in columns)), _rows(COVERED, *(x[full] for x in columns))]
+        yield [_rows(DIFFERS, *(x[one] for x in columns)), _rows(COVERED, *_once([x[full] for x in columns]))]
 
 
 def _meet(hot: int):
@@ -239,7 +258,7 @@ def _meet(hot: int):
             kinds = np.add.reduceat((~same).astype(np.int64), start)
             many = np.repeat((kinds > hot) | (h[start] == (crowded if crowded is not None else h[start] + 1)), size)
             differ = (np.repeat(kinds > 1, size) | many) & ~same
-            yield _rows(COVERED, *(x[twice] for x in c))
+            yield _rows(COVERED, *_once([x[twice] for x in c]))
             yield _rows(np.where(many[differ], CROWDED, DIFFERS), *(x[differ] for x in c))
 
         for batch in batches:
