@@ -31,8 +31,10 @@ from strandex.llm import common, simhash
 from strandex.llm.components import components
 
 SHINGLE, SIMILARITY, BITS = 5, 0.8, 1024
-#: One of so many texts is sampled for common shingles; more texts of the sample than these make one common.
-SAMPLE, COMMON = 16, 4
+#: One of so many texts is sampled for common shingles; more texts of the sample than these make one common; that many at most are told apart.
+SAMPLE, COMMON, CROWDED = 16, 4, 1 << 16
+#: Bits, as a power of two, of the filter that says which texts are compared; bits of a block of it.
+FILTER_BITS, BLOCK_BITS = 26, 16
 _LONGS = pa.list_(pa.int64())
 _ID = f"coalesce(doc_id, {-(2**63 - 1)}L - 1L)"
 
@@ -60,21 +62,42 @@ def prefix(of: np.ndarray, crowded: np.ndarray, p: int, q: int) -> np.ndarray:
     return of[np.lexsort((of, last))[: len(of) + (-p * len(of)) // q + 1]]
 
 
-def _sets(frame: DataFrame, size: int) -> DataFrame:
-    """key, items: the shingles of a table key, text."""
+def _sets(frame: DataFrame, size: int, wanted=None) -> DataFrame:
+    """id, t, items: the shingles of a table id, t, text; of those alone whose t the filter has, if there is one."""
 
     def run(batches):
         common.held("similar", None, int)
         for batch in batches:
-            items = [shingles(x, size).view(np.int64) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(items, _LONGS)], names=["key", "items"])
+            if wanted is not None:
+                place = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64) & np.uint64((1 << FILTER_BITS) - 1)
+                batch = batch.filter(pa.array((wanted.value[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)))
+            items = [shingles(x, size).view(np.int64) for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(items, _LONGS)], names=["id", "t", "items"])
 
-    return frame.mapInArrow(run, "key long, items array<long>")
+    return frame.mapInArrow(run, "id long, t long, items array<long>")
+
+
+def _filter(at: DataFrame) -> np.ndarray:
+    """A bit for each t: blocks are made by the executors, so the driver gets 2 ** FILTER_BITS bits at most, whatever the input."""
+    place = f"t & {(1 << FILTER_BITS) - 1}L"
+
+    def block(table: pa.Table) -> pa.Table:
+        bits = np.zeros(1 << BLOCK_BITS, np.uint8)
+        bits[table.column("bit").to_numpy()] = 1
+        return pa.table({"block": table.column("block").slice(0, 1), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+    places = at.selectExpr(f"shiftright({place}, {BLOCK_BITS}) as block", f"{place} & {(1 << BLOCK_BITS) - 1}L as bit").distinct()
+    out = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    wide = 1 << (BLOCK_BITS - 3)
+    for r in places.groupBy("block").applyInArrow(block, "block long, bits binary").toLocalIterator():
+        out[r.block * wide : (r.block + 1) * wide] = np.frombuffer(r.bits, np.uint8)
+    return out
 
 
 def _common(texts: DataFrame, size: int) -> np.ndarray:
-    some = texts.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(SAMPLE)) == 0).select(F.col("doc_id").alias("key"), "text")
-    often = _sets(some, size).select(F.explode("items").alias("h")).groupBy("h").count().where(F.col("count") > COMMON)
+    """The shingles met most often in a sample, ``CROWDED`` at most: only the order of shingles depends on them."""
+    some = texts.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(SAMPLE)) == 0).select(F.col("doc_id").alias("id"), F.lit(0).cast("long").alias("t"), "text")
+    often = _sets(some, size).select(F.explode("items").alias("h")).groupBy("h").count().where(F.col("count") > COMMON).orderBy(F.desc("count"), "h").limit(CROWDED)
     return np.sort(np.array([r.h for r in often.select("h").collect()], np.int64).view(np.uint64))
 
 
@@ -99,10 +122,7 @@ def _marked(texts: DataFrame, size: int, p: int, q: int) -> DataFrame:
 
 def _release(frame: DataFrame) -> DataFrame:
     """The checkpointed frame; shuffle files of what made it and isn't referred to any more are given back."""
-    import gc
-
-    gc.collect()
-    frame.sparkSession.sparkContext._jvm.System.gc()
+    common.release(frame.sparkSession)
     return frame
 
 
@@ -116,7 +136,9 @@ def _verified(pairs: DataFrame, info: DataFrame, texts: DataFrame, size: int, p:
     at = info.join(wanted, "sig", "left_semi").select("sig", "id", "t")
     # what is compared is little beside the texts, which therefore aren't shuffled
     keyed = texts.select(F.expr(_ID).alias("id"), F.xxhash64("text").alias("t"), "text")
-    sets = _release(_sets(keyed.join(F.broadcast(at), ["id", "t"]).select(F.col("sig").alias("key"), "text"), size).dropDuplicates(["key"]).checkpoint())
+    wanted = texts.sparkSession.sparkContext.broadcast(_filter(at))
+    sets = _sets(keyed, size, wanted).join(at, ["id", "t"]).select(F.col("sig").alias("key"), "items").dropDuplicates(["key"])
+    sets = _release(sets.checkpoint())
     whole = fit.join(sets.select(F.col("key").alias("b"), F.col("items").alias("i_b")), "b").join(sets.select(F.col("key").alias("a"), F.col("items").alias("i_a")), "a")
     return _release(whole.where(f"{p + q} * size(array_intersect(i_a, i_b)) >= {p} * (n_a + n_b)").select(F.col("a").alias("src"), F.col("b").alias("dst")).checkpoint())
 
