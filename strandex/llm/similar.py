@@ -24,7 +24,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandex.llm import common, simhash
@@ -120,33 +120,45 @@ def _marked(texts: DataFrame, size: int, p: int, q: int) -> DataFrame:
     return texts.select("doc_id", "text", F.xxhash64("text")).mapInArrow(run, "doc_id long, t long, fp long, sig long, n long, parity array<long>, prefix array<long>")
 
 
-def _release(frame: DataFrame) -> DataFrame:
-    """The checkpointed frame; shuffle files of what made it and isn't referred to any more are given back."""
-    common.release(frame.sparkSession)
-    return frame
+class _Steps:
+    """Tables of the steps in the shared folder; shuffle files of each step are given back when it is written."""
 
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folders = spark, {}
 
-def _verified(pairs: DataFrame, info: DataFrame, texts: DataFrame, size: int, p: int, q: int) -> DataFrame:
+    def keep(self, frame: DataFrame, what: str) -> DataFrame:
+        frame, self.folders[what] = common.stored(frame, f"similar-{what}")
+        common.release(self.spark)
+        return frame
+
+    def drop(self, *names: str) -> None:
+        for what in names or list(self.folders):
+            common.drop(self.spark, self.folders.pop(what))
+
+
+def _verified(steps: _Steps, pairs: DataFrame, info: DataFrame, texts: DataFrame, size: int, p: int, q: int, name: str) -> DataFrame:
     """Those of the pairs a, b whose sets are similar, as edges src, dst.  info: sig, n, parity and the id, t of a text with that set."""
     side = lambda s: info.select(F.col("sig").alias(s), F.col("n").alias(f"n_{s}"), F.col("parity").alias(f"p_{s}"))
     fit = pairs.join(side("b"), "b").join(side("a"), "a")
     differ = "aggregate(zip_with(p_a, p_b, (x, y) -> bit_count(x ^ y)), 0, (x, y) -> x + y)"
-    fit = _release(fit.where(f"{p + q} * {differ} <= {q - p} * (n_a + n_b)").select("a", "b", "n_a", "n_b").checkpoint())
-    wanted = fit.select(F.col("a").alias("sig")).union(fit.select("b")).distinct()
-    at = info.join(wanted, "sig", "left_semi").select("sig", "id", "t")
+    fit = steps.keep(fit.where(f"{p + q} * {differ} <= {q - p} * (n_a + n_b)").select("a", "b", "n_a", "n_b"), f"fit-{name}")
+    at = steps.keep(info.join(fit.select(F.col("a").alias("sig")).union(fit.select("b")).distinct(), "sig", "left_semi").select("sig", "id", "t"), f"at-{name}")
     # what is compared is little beside the texts, which therefore aren't shuffled
     keyed = texts.select(F.expr(_ID).alias("id"), F.xxhash64("text").alias("t"), "text")
     wanted = texts.sparkSession.sparkContext.broadcast(_filter(at))
-    sets = _sets(keyed, size, wanted).join(at, ["id", "t"]).select(F.col("sig").alias("key"), "items").dropDuplicates(["key"])
-    sets = _release(sets.checkpoint())
+    sets = steps.keep(_sets(keyed, size, wanted).join(at, ["id", "t"]).select(F.col("sig").alias("key"), "items").dropDuplicates(["key"]), f"sets-{name}")
     whole = fit.join(sets.select(F.col("key").alias("b"), F.col("items").alias("i_b")), "b").join(sets.select(F.col("key").alias("a"), F.col("items").alias("i_a")), "a")
-    return _release(whole.where(f"{p + q} * size(array_intersect(i_a, i_b)) >= {p} * (n_a + n_b)").select(F.col("a").alias("src"), F.col("b").alias("dst")).checkpoint())
+    found = steps.keep(whole.where(f"{p + q} * size(array_intersect(i_a, i_b)) >= {p} * (n_a + n_b)").select(F.col("a").alias("src"), F.col("b").alias("dst")), f"similar-{name}")
+    steps.drop(f"fit-{name}", f"at-{name}", f"sets-{name}")
+    wanted.unpersist()
+    return found
 
 
 def _shared(marked: DataFrame, bucket) -> DataFrame:
-    """h, sig, n, i, least: the members of buckets with several sets."""
+    """h, sig, n, i and the bucket's least member (sig_b, n_b, j): the members of buckets with several sets."""
     rows = marked.select("sig", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("i", "h"))
-    return rows.withColumn("least", F.min(F.struct("sig", "n", "i")).over(bucket)).withColumn("most", F.max("sig").over(bucket)).where("least.sig < most").drop("most").distinct().checkpoint()
+    rows = rows.withColumn("least", F.min(F.struct("sig", "n", "i")).over(bucket)).withColumn("most", F.max("sig").over(bucket)).where("least.sig < most")
+    return rows.selectExpr("h", "sig", "n", "i", "least.sig as sig_b", "least.n as n_b", "least.i as j").distinct()
 
 
 def _by_bits(marked: DataFrame) -> DataFrame:
@@ -155,38 +167,46 @@ def _by_bits(marked: DataFrame) -> DataFrame:
     holder = of_fp.groupBy("fp").agg(F.min("sig").alias("holder"))
     ends = [holder.select(F.col("fp").alias(x), F.col("holder").alias(f"{x}_sig")) for x in ("src", "dst")]
     linked = simhash.links(holder.select("fp")).join(ends[0], "src").join(ends[1], "dst").select(F.col("src_sig").alias("src"), F.col("dst_sig").alias("dst"))
-    return linked.union(of_fp.join(holder, "fp").select(F.col("sig").alias("src"), F.col("holder").alias("dst"))).where("src <> dst").distinct().checkpoint()
+    return linked.union(of_fp.join(holder, "fp").select(F.col("sig").alias("src"), F.col("holder").alias("dst"))).where("src <> dst").distinct()
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE) -> DataFrame:
     """doc_id, component_id (the smallest doc_id reachable) for every row of ``docs``."""
     share = Fraction(similarity).limit_denominator(1000)
     p, q = share.numerator, share.denominator
-    common.shared_dir(docs.sparkSession, "similar")
+    steps = _Steps(docs.sparkSession)
     texts = common.texts(docs)
-    marked = _marked(texts, size, p, q).withColumn("id", F.expr(_ID)).checkpoint()
-    # one text for each set
-    info = marked.groupBy("sig").agg(F.min(F.struct("id", "t", "n", "parity")).alias("one")).select("sig", "one.*").checkpoint()
+    whole = steps.keep(_marked(texts, size, p, q).withColumn("id", F.expr(_ID)), "whole")
     # two members of a bucket can be similar if it is their first common shingle: i, j shingles come before it
     can = f"{p + q} * least(n - i, n_b - j) >= {p} * (n + n_b)"
     pair = F.least("sig", "sig_b").alias("a"), F.greatest("sig", "sig_b").alias("b")
     bucket = Window.partitionBy("h")
-    shared = _release(_shared(marked, bucket))
-    first = shared.where("sig <> least.sig").selectExpr("sig", "n", "i", "least.sig as sig_b", "least.n as n_b", "least.i as j").where(can).select(*pair).distinct().checkpoint()
-    by_bits = _release(_by_bits(marked))
-    edges = by_bits.union(_verified(first, info, texts, size, p, q)).distinct().checkpoint()
+    shared = steps.keep(_shared(whole, bucket), "shared")
+    marked = steps.keep(whole.drop("prefix"), "marked")
+    steps.drop("whole")
+    # one text for each set
+    info = steps.keep(marked.groupBy("sig").agg(F.min(F.struct("id", "t", "n", "parity")).alias("one")).select("sig", "one.*"), "info")
+    first = steps.keep(shared.where("sig <> sig_b").where(can).select(*pair).distinct(), "first")
+    by_bits = steps.keep(_by_bits(marked), "bits")
+    edges = steps.keep(by_bits.union(_verified(steps, first, info, texts, size, p, q, "first")).distinct(), "edges")
     # members of different components, bucket by bucket
-    label = components(edges).withColumnRenamed("node", "sig")
+    label = steps.keep(components(edges).withColumnRenamed("node", "sig"), "label")
     named = shared.join(label, "sig", "left").select("h", "sig", "n", "i", F.coalesce("component", "sig").alias("label"))
-    mixed = named.withColumn("low", F.min("label").over(bucket)).withColumn("high", F.max("label").over(bucket)).where("low < high").drop("low", "high").checkpoint()
+    mixed = steps.keep(named.withColumn("low", F.min("label").over(bucket)).withColumn("high", F.max("label").over(bucket)).where("low < high").drop("low", "high"), "mixed")
+    steps.drop("shared")
     labels = mixed.select("h", F.col("label").alias("other")).distinct()
     others = mixed.selectExpr("h", "label as other", "sig as sig_b", "n as n_b", "i as j")
     met = mixed.join(labels, "h").where("label < other").join(others, ["h", "other"]).where(can).select(*pair).distinct()
-    more = _verified(met.join(first, ["a", "b"], "left_anti"), info, texts, size, p, q)
+    met = steps.keep(met.join(first, ["a", "b"], "left_anti"), "met")
+    more = _verified(steps, met, info, texts, size, p, q, "more")
     label = components(edges.union(more)).withColumnRenamed("node", "sig")
     named = marked.select("doc_id", "sig").join(label, "sig", "left").select("doc_id", F.coalesce("component", "sig").alias("label"))
     smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    return named.join(smallest, "label").select("doc_id", "component_id")
+    found, _ = common.stored(named.join(smallest, "label").select("doc_id", "component_id"), "similar-classes")
+    del whole, shared, marked, info, first, by_bits, edges, label, named, mixed, labels, others, met, more, smallest
+    steps.drop()
+    common.release(docs.sparkSession)
+    return found
 
 
 def deduplicate(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE) -> DataFrame:
