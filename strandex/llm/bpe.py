@@ -34,13 +34,13 @@ from pyspark.sql import functions as F
 from strandex.llm import common
 
 #: Words in the lexicon; words of the memo in front of it; bytes of a word in the lexicon at most.
-LEXICON_WORDS, MEMO_WORDS, WORD_BYTES = 131_072, 200_000, 64
+LEXICON_WORDS, MEMO_WORDS, WORD_BYTES = 131_072, 100_000, 64
 #: Symbols of a piece that is merged with a plain list; longer ones use a heap.
 SHORT_PIECE, NO_RANK = 64, 1 << 30
 #: Pieces merged at once.
 MERGE_ROWS = 8192
 #: Distinct words a task counts before it passes the counts on; characters of text encoded at once.
-COUNT_WORDS, BLOCK_BYTES = 200_000, 2 << 20
+COUNT_WORDS, BLOCK_BYTES = 100_000, 1 << 20
 #: Fixed value: Unicode's White_Space, as the vocabulary's \\s has it.
 _SPACES = "\t\n\v\f\r \x85\xa0  -     　"
 #: Letters beside a-z that texts of ASCII and these can be cut with a plain pattern; the pattern, and what rules it out.

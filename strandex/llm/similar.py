@@ -7,11 +7,15 @@ one of the first n - ceil(n * similarity) + 1 of each (prefix filter).
 Shingles go by hash, those found often in a sample of the texts last: the
 sample decides what is compared for nothing, not what is found.
 
-What shares a prefix shingle is first compared with the least member of its
-bucket; then only members of different components are, so that a group of near
-copies doesn't make all its pairs.  A pair is met at its first common shingle, whose places bound
-what both can have in common; parities of the sets in ``BITS`` bits bound the symmetric difference from below and drop pairs that can't be similar; the
-others are counted on their whole sets of 64-bit hashes.
+What shares a prefix shingle is first compared with one member of its bucket,
+chosen anew in each of ``ROUNDS`` rounds; what a round links is one component in
+the next, and only members of different components are compared.  So a group of
+near copies doesn't make all its pairs.  What is left in the end is compared
+within its bucket, in blocks of ``HOT`` members that spread a large bucket over
+tasks: places of the common shingle bound what both can have in common, and
+parities of the sets in ``BITS`` bits bound the symmetric difference from below;
+only pairs that can be similar leave the task.  Pairs are counted on their whole
+sets of 64-bit hashes.
 
 Null texts count as empty; a text of fewer words than a shingle has one, of all
 its words.  Texts with equal sets are linked.
@@ -30,7 +34,7 @@ from pyspark.sql import functions as F
 from strandex.llm import common, simhash
 from strandex.llm.components import components
 
-SHINGLE, SIMILARITY, BITS = 5, 0.8, 1024
+SHINGLE, SIMILARITY, BITS, ROUNDS, HOT = 5, 0.8, 1024, 2, 8192
 #: One of so many texts is sampled for common shingles; more texts of the sample than these make one common; that many at most are told apart.
 SAMPLE, COMMON, CROWDED = 16, 4, 1 << 16
 #: Bits, as a power of two, of the filter that says which texts are compared; bits of a block of it.
@@ -62,6 +66,14 @@ def prefix(of: np.ndarray, crowded: np.ndarray, p: int, q: int) -> np.ndarray:
     return of[np.lexsort((of, last))[: len(of) + (-p * len(of)) // q + 1]]
 
 
+def _chunks(batches, column: int):
+    """Slices of the batches and their values, little text at once."""
+    for batch in batches:
+        values = batch.column(column).to_pylist()
+        for lo, hi in common.chunked(values):
+            yield batch.slice(lo, hi - lo), values[lo:hi]
+
+
 def _sets(frame: DataFrame, size: int, wanted=None) -> DataFrame:
     """id, t, items: the shingles of a table id, t, text; of those alone whose t the filter has, if there is one."""
 
@@ -71,8 +83,9 @@ def _sets(frame: DataFrame, size: int, wanted=None) -> DataFrame:
             if wanted is not None:
                 place = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64) & np.uint64((1 << FILTER_BITS) - 1)
                 batch = batch.filter(pa.array((wanted.value[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)))
-            items = [shingles(x, size).view(np.int64) for x in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(items, _LONGS)], names=["id", "t", "items"])
+            for some, values in _chunks([batch], 2):
+                items = [shingles(x, size).view(np.int64) for x in values]
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(items, _LONGS)], names=["id", "t", "items"])
 
     return frame.mapInArrow(run, "id long, t long, items array<long>")
 
@@ -107,8 +120,7 @@ def _marked(texts: DataFrame, size: int, p: int, q: int) -> DataFrame:
 
     def run(batches):
         common.held("similar", None, int)
-        for batch in batches:
-            values = batch.column(1).to_pylist()
+        for batch, values in _chunks(batches, 1):
             sets = [shingles(x, size) for x in values]
             fp = np.array([simhash.fingerprint(x) for x in values], np.uint64).view(np.int64)
             sig = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
@@ -155,10 +167,9 @@ def _verified(steps: _Steps, pairs: DataFrame, info: DataFrame, texts: DataFrame
 
 
 def _shared(marked: DataFrame, bucket) -> DataFrame:
-    """h, sig, n, i and the bucket's least member (sig_b, n_b, j): the members of buckets with several sets."""
+    """h, sig, n, i: the members of buckets with several sets."""
     rows = marked.select("sig", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("i", "h"))
-    rows = rows.withColumn("least", F.min(F.struct("sig", "n", "i")).over(bucket)).withColumn("most", F.max("sig").over(bucket)).where("least.sig < most")
-    return rows.selectExpr("h", "sig", "n", "i", "least.sig as sig_b", "least.n as n_b", "least.i as j").distinct()
+    return rows.withColumn("least", F.min("sig").over(bucket)).withColumn("most", F.max("sig").over(bucket)).where("least < most").select("h", "sig", "n", "i").distinct()
 
 
 def _by_bits(marked: DataFrame) -> DataFrame:
@@ -170,6 +181,58 @@ def _by_bits(marked: DataFrame) -> DataFrame:
     return linked.union(of_fp.join(holder, "fp").select(F.col("sig").alias("src"), F.col("holder").alias("dst"))).where("src <> dst").distinct()
 
 
+def _pairs(c: list[np.ndarray], p: int, q: int) -> np.ndarray:
+    """Pairs (two rows of sigs) that can be similar.  Rows h, x, y, block, sig, label, n, i, parity are sorted by h, x, y, n."""
+    h, x, y, block, sig, label, n, i, bits = c
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+    start = np.flatnonzero(new)
+    size = np.diff(np.append(start, len(h)))
+    left = np.repeat(start + size, size) - np.arange(len(h)) - 1  # rows that follow in the bucket
+    rows, step, found = np.flatnonzero(left > 0), 1, [np.zeros((2, 0), np.int64)]
+    while len(rows):
+        rows = rows[n[rows] * q >= n[rows + step] * p]  # sizes ascend: what is too long now stays so
+        other = rows + step
+        can = (label[rows] != label[other]) & ((x[rows] == y[rows]) | (block[rows] != block[other])) & ((p + q) * np.minimum(n[rows] - i[rows], n[other] - i[other]) >= p * (n[rows] + n[other]))
+        a, b = rows[can], other[can]
+        differ = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64)
+        near = (p + q) * differ <= (q - p) * (n[a] + n[b])
+        if near.any():
+            found.append(np.stack((np.minimum(sig[a], sig[b]), np.maximum(sig[a], sig[b])))[:, near])
+        step += 1
+        rows = rows[left[rows] >= step]
+    return np.unique(np.concatenate(found, axis=1), axis=1)
+
+
+def _within(mixed: DataFrame, info: DataFrame, bucket, p: int, q: int) -> DataFrame:
+    """Pairs a, b of different labels in one bucket that can be similar."""
+    n = common.parts(mixed.sparkSession)
+    dealt = mixed.withColumn("blocks", F.ceil(F.count("*").over(bucket) / F.lit(HOT)).cast("int")).withColumn("block", F.expr("cast(pmod(xxhash64(sig, 7L), blocks) as int)"))
+    dealt = dealt.select("h", "sig", "label", "n", "i", "block", F.explode(F.expr("sequence(0, blocks - 1)")).alias("with"))
+    dealt = dealt.select("h", F.least("block", "with").alias("x"), F.greatest("block", "with").alias("y"), "block", "sig", "label", "n", "i").join(info.select("sig", "parity"), "sig")
+    dealt = dealt.select("h", "x", "y", "block", "sig", "label", "n", "i", "parity").repartition(n, "h", "x", "y").sortWithinPartitions("h", "x", "y", "n")
+
+    def run(batches):
+        common.held("similar", None, int)
+        held: list[np.ndarray] | None = None
+        for batch in batches:
+            c = [batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(8)] + [batch.column(8).flatten().to_numpy().view(np.uint64).reshape(-1, BITS // 64)]
+            if held is not None:
+                c = [np.concatenate(x) for x in zip(held, c, strict=True)]
+            differs = (c[0] != c[0][-1]) | (c[1] != c[1][-1]) | (c[2] != c[2][-1]) if len(c[0]) else np.zeros(0, bool)
+            last = int(np.flatnonzero(differs)[-1]) + 1 if differs.any() else 0  # the last bucket may go on in the next batch
+            yield out([x[:last] for x in c])
+            held = [x[last:] for x in c]
+        if held is not None:
+            yield out(held)
+
+    def out(c):
+        a, b = _pairs(c, p, q)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE) -> DataFrame:
     """doc_id, component_id (the smallest doc_id reachable) for every row of ``docs``."""
     share = Fraction(similarity).limit_denominator(1000)
@@ -186,24 +249,28 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, size: int =
     steps.drop("whole")
     # one text for each set
     info = steps.keep(marked.groupBy("sig").agg(F.min(F.struct("id", "t", "n", "parity")).alias("one")).select("sig", "one.*"), "info")
-    first = steps.keep(shared.where("sig <> sig_b").where(can).select(*pair).distinct(), "first")
-    by_bits = steps.keep(_by_bits(marked), "bits")
-    edges = steps.keep(by_bits.union(_verified(steps, first, info, texts, size, p, q, "first")).distinct(), "edges")
-    # members of different components, bucket by bucket
-    label = steps.keep(components(edges).withColumnRenamed("node", "sig"), "label")
-    named = shared.join(label, "sig", "left").select("h", "sig", "n", "i", F.coalesce("component", "sig").alias("label"))
-    mixed = steps.keep(named.withColumn("low", F.min("label").over(bucket)).withColumn("high", F.max("label").over(bucket)).where("low < high").drop("low", "high"), "mixed")
-    steps.drop("shared")
-    labels = mixed.select("h", F.col("label").alias("other")).distinct()
-    others = mixed.selectExpr("h", "label as other", "sig as sig_b", "n as n_b", "i as j")
-    met = mixed.join(labels, "h").where("label < other").join(others, ["h", "other"]).where(can).select(*pair).distinct()
-    met = steps.keep(met.join(first, ["a", "b"], "left_anti"), "met")
-    more = _verified(steps, met, info, texts, size, p, q, "more")
-    label = components(edges.union(more)).withColumnRenamed("node", "sig")
+    edges = steps.keep(_by_bits(marked), "edges")
+    tested, last = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).limit(0), "shared"
+    for k in range(ROUNDS + 1):
+        label = steps.keep(components(edges).withColumnRenamed("node", "sig"), f"label-{k}")
+        named = shared.join(label, "sig", "left").select("h", "sig", "n", "i", F.coalesce("component", "sig").alias("label"))
+        mixed = named.withColumn("low", F.min("label").over(bucket)).withColumn("high", F.max("label").over(bucket)).where("low < high").drop("low", "high")
+        mixed = steps.keep(mixed, f"mixed-{k}")
+        steps.drop(last, f"label-{k}")
+        shared, last = mixed.drop("label"), f"mixed-{k}"
+        if k < ROUNDS:
+            one = F.min(F.struct(F.xxhash64("sig", F.lit(k)), "sig", "n", "i", "label")).over(bucket)
+            met = mixed.withColumn("one", one).where("one.label <> label").selectExpr("sig", "n", "i", "one.sig as sig_b", "one.n as n_b", "one.i as j").where(can).select(*pair).distinct()
+        else:
+            met = _within(mixed, info, bucket, p, q)
+        met = steps.keep(met.join(tested, ["a", "b"], "left_anti"), f"met-{k}")
+        edges = steps.keep(edges.union(_verified(steps, met, info, texts, size, p, q, str(k))), f"edges-{k}")
+        tested = tested.union(met)
+    label = components(edges).withColumnRenamed("node", "sig")
     named = marked.select("doc_id", "sig").join(label, "sig", "left").select("doc_id", F.coalesce("component", "sig").alias("label"))
     smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     found, _ = common.stored(named.join(smallest, "label").select("doc_id", "component_id"), "similar-classes")
-    del whole, shared, marked, info, first, by_bits, edges, label, named, mixed, labels, others, met, more, smallest
+    del whole, shared, marked, info, edges, label, named, mixed, met, tested, smallest
     steps.drop()
     common.release(docs.sparkSession)
     return found
