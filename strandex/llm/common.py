@@ -171,20 +171,26 @@ def map_file(folder: str, name: str) -> dict[str, np.ndarray]:
 _held: dict = {}
 
 
-def held(owner: str, key, make):
-    """What a worker keeps between tasks: things of one operator at a time.
+def kept(owner: str) -> dict:
+    """What a worker keeps between tasks, of one operator at a time.
 
     Workers outlive queries; when another operator begins, what the last one
     kept (vocabularies, memos, mapped tables) is given back to the system.
     """
     if _held.get("owner") != owner:
         _held.clear()
-        _held["owner"] = owner
+        _held.update(owner=owner, things={})
         _powers[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
         give_back()
-    if key not in _held:
-        _held[key] = make()
-    return _held[key]
+    return _held["things"]
+
+
+def held(owner: str, key, make):
+    """The thing under this key, made if it isn't kept yet."""
+    things = kept(owner)
+    if key not in things:
+        things[key] = make()
+    return things[key]
 
 
 def give_back() -> None:

@@ -1,20 +1,23 @@
 """Benchmark decontamination by a generalised suffix automaton over words.
 
 The test items, normalised to words, go into one generalised suffix automaton
-for each block of items (a block has at most ``BLOCK_WORDS`` words, so what a
-worker holds is bounded; more items make more blocks, each checked against all
-documents).  A document's words are streamed through the automaton; where the
-longest match is at least a window long, the window ending there is hit.  Only
-stretches whose word pairs all occur in items are streamed: elsewhere no match
-can reach a window's length, so skipping them changes nothing.
+for each block of items.  A block has at most ``BLOCK_WORDS`` words (or one
+item); each is written to a file of the shared folder, and a worker holds one at
+a time: documents pass the blocks one after the other.  A document's words are
+streamed through the automaton; where the longest match is at least a window
+long, the window ending there is hit.  Only stretches whose word pairs all occur
+in items are streamed: elsewhere no match can reach a window's length, so
+skipping them changes nothing.
 
 A null text, of an item or a document, has no words.  An item without words
-has no window.  Repeated items or rows each count.  No items: nothing is hit.
+has no window; one without an id hits, but has no id to report.  Repeated items
+or rows each count, and very long texts are streamed as a whole.  No items:
+nothing is hit.  No documents: no rows.
 """
 
 from __future__ import annotations
 
-import hashlib
+import pickle
 import re
 from dataclasses import dataclass, field
 
@@ -30,7 +33,7 @@ WINDOW = 13
 #: A document is contaminated if at least one word in so many is hit.
 COVERAGE = 20
 #: Words of the items that one automaton holds.
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 250_000
 #: A-Z to a-z; bytes that are no part of a word to a space; bytes from 0x80 on belong to words.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 0x80 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -42,15 +45,16 @@ def words(text: str | None) -> list[bytes]:
 
 @dataclass
 class Automaton:
-    """next, link and length of each state; for each state the items of its window and of short items that end in it."""
+    """next, link and length of each state; for each state that of its window, whose items are listed, and the short items that end in it."""
 
     ids: dict[bytes, int] = field(default_factory=dict)
     next: list[dict[int, int]] = field(default_factory=lambda: [{}])
     link: list[int] = field(default_factory=lambda: [-1])
     length: list[int] = field(default_factory=lambda: [0])
-    names: list[str] = field(default_factory=list)
+    names: list[str | None] = field(default_factory=list)
     pairs: np.ndarray | None = None
     window: dict[int, int] = field(default_factory=dict)
+    items: dict[int, list[int]] = field(default_factory=dict)
     short: dict[int, list[tuple[int, int]]] = field(default_factory=dict)
     least: int = WINDOW
 
@@ -101,42 +105,38 @@ def build(items: list[tuple[str, str | None]], window: int = WINDOW) -> Automato
         for c in w:
             last = a.extend(last, c)
     a.names = [name for name, _ in kept]
-    owners: dict[int, int] = {}
-    whole: dict[int, list[tuple[int, int]]] = {}
-    for k, (_, w) in enumerate(kept):  # which items pass through which state
+    order = sorted(range(1, len(a.next)), key=a.length.__getitem__)
+    for s in order:  # from short to long: the state of a window stands for the longer ones that end with it
+        if a.length[s] >= window:
+            a.window[s] = a.window.get(a.link[s], s)
+    for k, (_, w) in enumerate(kept):
         state = size = 0
-        for i, c in enumerate(w):
+        for c in w:
             state, size = a.step(state, size, c)
-            owners[state] = owners.get(state, 0) | 1 << k
-            if len(w) < window and i + 1 == len(w):
-                whole.setdefault(state, []).append((len(w), 1 << k))
-    order = sorted(range(1, len(a.next)), key=lambda s: -a.length[s])
-    for s in order:  # from long to short: a state's items pass to its suffixes
-        if (up := a.link[s]) > 0 and s in owners:
-            owners[up] = owners.get(up, 0) | owners[s]
-    for s in reversed(order):
-        up = a.link[s]
-        if a.length[s] >= window:
-            a.window[s] = a.window[up] if a.length[up] >= window else owners.get(s, 0)
-        if found := [*whole.get(s, []), *a.short.get(up, [])]:
-            a.short[s] = found
+            if size >= window and k not in (found := a.items.setdefault(a.window[state], []))[-1:]:
+                found.append(k)
+        if len(w) < window:
+            a.short.setdefault(state, []).append((len(w), k))
+    for s in order:
+        if up := a.short.get(a.link[s]):
+            a.short[s] = [*a.short.get(s, []), *up]
     n = max(1, len(a.ids))
     a.pairs = np.unique(np.array([x * n + y for _, w in kept for x, y in zip(w, w[1:], strict=False)], np.int64))
     a.least = min([window, *(len(w) for _, w in kept)])
     return a
 
 
-def stream(a: Automaton, ids: np.ndarray, window: int = WINDOW) -> tuple[list[tuple[int, int]], int]:
-    """Spans of hit words (from, to exclusive; may overlap) and the set of items, as bits."""
-    spans, items, state, size = [], 0, 0, 0
+def stream(a: Automaton, ids: np.ndarray, window: int = WINDOW) -> tuple[list[tuple[int, int]], set[int]]:
+    """Spans of hit words (from, to exclusive; may overlap) and the items, by place."""
+    spans, items, state, size = [], set(), 0, 0
     for i, c in enumerate(ids.tolist()):
         state, size = a.step(state, size, c) if c >= 0 else (0, 0)
         if size >= window:
-            items |= a.window[state]
+            items.update(a.items[a.window[state]])
             spans.append((i + 1 - window, i + 1))
         for n, item in a.short.get(state, ()) if size else ():
             if n <= size:
-                items |= item
+                items.add(item)
                 spans.append((i + 1 - n, i + 1))
     return spans, items
 
@@ -186,51 +186,85 @@ def scan(automata: list[Automaton], values: list[str | None], window: int = WIND
                     d = int(np.searchsorted(starts, s, "right")) - 1
                     mine = found.setdefault(d, ([], set()))
                     mine[0].extend((s + x - int(starts[d]), s + y - int(starts[d])) for x, y in spans)
-                    k = 0
-                    while items >> k:
-                        low = (items >> k & -(items >> k)).bit_length() - 1
-                        mine[1].add(a.names[k + low])
-                        k += low + 1
+                    mine[1].update(a.names[k] for k in items)
         for d, (s, e) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
             spans, items = found.get(d, ([], ()))
-            out.append((e - s, merge(spans), sorted(items)))
+            out.append((e - s, merge(spans), sorted(x for x in items if x is not None)))
     return out
 
 
-def automata(items: DataFrame, block_words: int = BLOCK_WORDS, window: int = WINDOW) -> list[Automaton]:
-    """One automaton for each block of the stated test items (columns item_id, text)."""
-    blocks: list[list[tuple[str, str | None]]] = [[]]
+def write_automata(items: DataFrame, block_words: int = BLOCK_WORDS, window: int = WINDOW) -> tuple[str, int]:
+    """Write one automaton for each block of the stated test items (columns item_id, text); the driver holds one block at a time."""
+    folder, blocks = common.shared_dir(items.sparkSession, "automata"), 0
+    block: list[tuple[str | None, str | None]] = []
+
+    def write():
+        common.put_file(folder, f"block-{blocks}", {"pickle": np.frombuffer(pickle.dumps(build(block, window)), np.uint8)})
+
     size = 0
-    for row in items.select(F.col("item_id").cast("string"), "text").toLocalIterator():
-        n = len(words(row[1]))
+    for name, text in items.select(F.col("item_id").cast("string"), "text").toLocalIterator():
+        n = len(words(text))
         if size and size + n > block_words:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((str(row[0]), row[1]))
+            write()
+            block, size, blocks = [], 0, blocks + 1
+        block.append((name, text))
         size += n
-    return [build(b, window) for b in blocks]
+    write()
+    return folder, blocks + 1
+
+
+def automaton(folder: str, block: int) -> Automaton:
+    """One for each worker; another block takes its place."""
+    if ("automaton", folder, block) not in common.kept("decontamination"):
+        common.kept("decontamination").clear()
+    return common.held("decontamination", ("automaton", folder, block), lambda: pickle.loads(common.map_file(folder, f"block-{block}")["pickle"].tobytes()))
 
 
 def contaminated(n_words: int, n_hit: int) -> bool:
     return n_hit > 0 and COVERAGE * n_hit >= n_words
 
 
-def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id, n_words, n_hit, item_ids (sorted), spans (merged hit spans in words), contaminated."""
-    held = docs.sparkSession.sparkContext.broadcast(automata(items, block_words, window))
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("item_ids", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), ("contaminated", pa.bool_())])
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+#: What the blocks so far have found.
+_FOUND = "strandex_n_words long, strandex_items array<string>, strandex_spans array<struct<start:long,stop:long>>"
 
-    def find(batches):
-        common.held("decontamination", None, int)
-        for batch in batches:
-            got = scan(held.value, batch.column(1).to_pylist(), window)
-            hit = [sum(e - s for s, e in spans) for _, spans, _ in got]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([n for n, _, _ in got], pa.int64()), pa.array(hit, pa.int64()), pa.array([i for _, _, i in got], schema.field(3).type), pa.array([[{"start": s, "stop": e} for s, e in x] for _, x, _ in got], schema.field(4).type), pa.array([contaminated(n, h) for (n, _, _), h in zip(got, hit, strict=True)], pa.bool_())],
-                schema=schema,
-            )
 
-    return common.texts(docs).mapInArrow(find, "doc_id long, n_words long, n_hit long, item_ids array<string>, spans array<struct<start:long,stop:long>>, contaminated boolean")
+def scanned(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The documents with what was found in them: words, items and merged hit spans (in words)."""
+    folder, blocks = write_automata(items, block_words, window)
+    at, columns = docs.columns.index("text"), len(docs.columns)
+    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema)}, {_FOUND}"
+
+    def scan_block(block: int):
+        def run(batches):
+            for batch in batches:
+                got = scan([automaton(folder, block)], batch.column(at).to_pylist(), window)
+                spans, names = [g[1] for g in got], [g[2] for g in got]
+                if block:
+                    spans = [merge([*((x["start"], x["stop"]) for x in old), *new]) for old, new in zip(batch.column(columns + 2).to_pylist(), spans, strict=True)]
+                    names = [sorted({*old, *new}) for old, new in zip(batch.column(columns + 1).to_pylist(), names, strict=True)]
+                new = [pa.array([n for n, _, _ in got], pa.int64()), pa.array(names, pa.list_(pa.string())), pa.array([[{"start": s, "stop": e} for s, e in x] for x in spans], _SPANS)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:columns], *new], names=[*batch.schema.names[:columns], "strandex_n_words", "strandex_items", "strandex_spans"])
+
+        return run
+
+    last = None
+    for block in range(blocks):
+        docs = docs.mapInArrow(scan_block(block), schema)
+        if block + 1 < blocks:
+            docs, written = common.stored(docs, "decontamination")
+            if last:
+                common.drop(docs.sparkSession, last)
+            last = written
+    return docs
+
+
+def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """doc_id, n_words, n_hit, item_ids (sorted), spans (merged hit spans in words), contaminated."""
+    found = scanned(common.texts(docs), items, window, block_words)
+    found = found.select("doc_id", F.col("strandex_n_words").alias("n_words"), F.col("strandex_items").alias("item_ids"), F.col("strandex_spans").alias("spans"))
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["stop"] - s["start"])
+    return found.select("doc_id", "n_words", hit.alias("n_hit"), "item_ids", "spans", ((hit > 0) & (COVERAGE * hit >= F.col("n_words"))).alias("contaminated"))
 
 
 def remove(text: str, spans: list[tuple[int, int]]) -> str:
@@ -243,25 +277,23 @@ def remove(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*out, text[done:]])
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The documents without the contaminated ones; shorter hit spans are cut from the texts of the others.
 
     Columns are those of ``docs``; a document without a hit is returned as it is.
     """
-    held = docs.sparkSession.sparkContext.broadcast(automata(items, window=window))
-    at = docs.columns.index("text")
+    at, columns = docs.columns.index("text"), len(docs.columns)
 
     def clean(batches):
-        common.held("decontamination", None, int)
         for batch in batches:
-            values = batch.column(at).to_pylist()
-            got = scan(held.value, values, window)
-            keep = [not contaminated(n, sum(e - s for s, e in spans)) for n, spans, _ in got]
-            new = [remove(x, spans) if spans else x for x, (_, spans, _) in zip(values, got, strict=True)]
-            columns = [*batch.columns[:at], pa.array(new, batch.schema.field(at).type), *batch.columns[at + 1 :]]
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep, pa.bool_()))
-
-    return docs.mapInArrow(clean, docs.schema)
+            values, n_words = batch.column(at).to_pylist(), batch.column(columns).to_pylist()
+            spans = [[(x["start"], x["stop"]) for x in found] for found in batch.column(columns + 2).to_pylist()]
+            keep = [not contaminated(n, sum(e - s for s, e in x)) for n, x in zip(n_words, spans, strict=True)]
+            new = [remove(x, found) if found else x for x, found in zip(values, spans, strict=True)]
+            out = [*batch.columns[:at], pa.array(new, batch.schema.field(at).type), *batch.columns[at + 1 : columns]]
+            yield pa.RecordBatch.from_arrays(out, names=batch.schema.names[:columns]).filter(pa.array(keep, pa.bool_()))
+
+    return scanned(docs, items, window, block_words).mapInArrow(clean, docs.schema)
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

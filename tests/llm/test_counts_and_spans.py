@@ -87,10 +87,11 @@ def test_decontaminate_cuts_and_drops(spark, make):
 
 
 def test_decontamination_odd(spark, odd, none):
-    table = spark.createDataFrame([(1, None), (2, ""), (3, prose(1, 60)), (3, prose(1, 60))], "item_id long, text string")
+    table = spark.createDataFrame([(1, None), (2, ""), (3, prose(1, 60)), (3, prose(1, 60)), (None, prose(1, 60))], "item_id long, text string")
     got = decontamination.matches(odd, table).collect()
     assert len(got) == odd.count()
     assert {r.doc_id: r.n_hit for r in got if r.doc_id in (0, 1, 2, 6)} == {0: 0, 1: 0, 2: 0, 6: 60}
+    assert {tuple(r.item_ids) for r in got if r.doc_id == 6} == {("3",)}  # an item without an id hits, but has none to report
     assert decontamination.matches(none, table).count() == 0
     assert decontamination.matches(odd, table.limit(0)).where("n_hit > 0").count() == 0
     assert decontamination.decontaminate(odd, table).columns == odd.columns
