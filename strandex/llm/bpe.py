@@ -381,8 +381,8 @@ def frequent_words(docs: DataFrame, path: str, most: int = LEXICON_WORDS) -> lis
 
     def count(batches):
         known, seen = vocabulary(path), Counter()
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
+        for _, texts in common.slices(batches, 0):
+            for text in texts:
                 seen.update(known.cut(text) if "<|" not in text else [w for w in known.words(text) if isinstance(w, str)])
                 if len(seen) > COUNT_WORDS:
                     yield rows(seen)
@@ -428,14 +428,12 @@ def encode_documents(docs: DataFrame, path: str | None = None, lexicon_words: in
 
     def run(batches):
         e = encoder(path, folder)
-        for batch in batches:
-            values = batch.column(1).to_pylist()
-            for at, stop in common.chunked(values, BLOCK_BYTES):  # what a batch holds besides its input stays small
-                gc.disable()  # many small tuples and no cycles
-                got = e.encode_many(values[at:stop])
-                gc.enable()
-                a, b = ([g[1] for g in got], [g[2] for g in got]) if with_ids else ([common.sha_hex(g[1].encode()) for g in got], [common.sha_hex(g[2].encode()) for g in got])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(got)), pa.array([g[0] for g in got], pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=names)
+        for part, values in common.slices(batches, 1, BLOCK_BYTES):
+            gc.disable()  # many small tuples and no cycles
+            got = e.encode_many(values)
+            gc.enable()
+            a, b = ([g[1] for g in got], [g[2] for g in got]) if with_ids else ([common.sha_hex(g[1].encode()) for g in got], [common.sha_hex(g[2].encode()) for g in got])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([g[0] for g in got], pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=names)
 
     return common.texts(docs).mapInArrow(run, f"doc_id long, n_tokens long, {names[2]} string, {names[3]} string")
 

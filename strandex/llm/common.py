@@ -18,6 +18,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -264,6 +265,18 @@ def chunked(values: list[bytes], most: int = CHUNK_BYTES) -> Iterator[tuple[int,
         yield begin, len(values)
 
 
+def slices(batches, column: int, most: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Slices of the batches with the values of a text column, of about ``most`` bytes of text; a longer value is alone."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        ends, lo = np.cumsum(sizes), 0
+        while lo < len(sizes):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, "right")))
+            part = batch.slice(lo, hi - lo)
+            yield part, part.column(column).to_pylist()
+            lo = hi
+
+
 def run_starts(key: np.ndarray) -> np.ndarray:
     """Where each run of equal values begins."""
     if not len(key):

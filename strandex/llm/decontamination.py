@@ -229,20 +229,23 @@ _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 _FOUND = "strandex_n_words long, strandex_items array<string>, strandex_spans array<struct<start:long,stop:long>>"
 
 
-def scanned(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The documents with what was found in them: words, items and merged hit spans (in words)."""
+def scanned(docs: DataFrame, items: DataFrame, finish, schema: str, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """``finish`` of the documents and what was found in them: of a batch's columns, its texts, and number of words, merged hit spans (in words) and item ids of each."""
     folder, blocks = write_automata(items, block_words, window)
     at, columns = docs.columns.index("text"), len(docs.columns)
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema)}, {_FOUND}"
+    between = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema)}, {_FOUND}"
 
     def scan_block(block: int):
         def run(batches):
-            for batch in batches:
-                got = scan([automaton(folder, block)], batch.column(at).to_pylist(), window)
+            for batch, values in common.slices(batches, at):
+                got = scan([automaton(folder, block)], values, window)
                 spans, names = [g[1] for g in got], [g[2] for g in got]
                 if block:
                     spans = [merge([*((x["start"], x["stop"]) for x in old), *new]) for old, new in zip(batch.column(columns + 2).to_pylist(), spans, strict=True)]
                     names = [sorted({*old, *new}) for old, new in zip(batch.column(columns + 1).to_pylist(), names, strict=True)]
+                if block + 1 == blocks:
+                    yield finish(batch.columns[:columns], batch.schema, values, [n for n, _, _ in got], spans, names)
+                    continue
                 new = [pa.array([n for n, _, _ in got], pa.int64()), pa.array(names, pa.list_(pa.string())), pa.array([[{"start": s, "stop": e} for s, e in x] for x in spans], _SPANS)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:columns], *new], names=[*batch.schema.names[:columns], "strandex_n_words", "strandex_items", "strandex_spans"])
 
@@ -250,7 +253,7 @@ def scanned(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words
 
     last = None
     for block in range(blocks):
-        docs = docs.mapInArrow(scan_block(block), schema)
+        docs = docs.mapInArrow(scan_block(block), between if block + 1 < blocks else schema)
         if block + 1 < blocks:
             docs, written = common.stored(docs, "decontamination")
             if last:
@@ -261,10 +264,13 @@ def scanned(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words
 
 def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, n_words, n_hit, item_ids (sorted), spans (merged hit spans in words), contaminated."""
-    found = scanned(common.texts(docs), items, window, block_words)
-    found = found.select("doc_id", F.col("strandex_n_words").alias("n_words"), F.col("strandex_items").alias("item_ids"), F.col("strandex_spans").alias("spans"))
-    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["stop"] - s["start"])
-    return found.select("doc_id", "n_words", hit.alias("n_hit"), "item_ids", "spans", ((hit > 0) & (COVERAGE * hit >= F.col("n_words"))).alias("contaminated"))
+
+    def finish(columns, _, __, n_words, spans, names):
+        hit = [sum(e - s for s, e in x) for x in spans]
+        out = [pa.array(n_words, pa.int64()), pa.array(hit, pa.int64()), pa.array(names, pa.list_(pa.string())), pa.array([[{"start": s, "stop": e} for s, e in x] for x in spans], _SPANS), pa.array([contaminated(n, h) for n, h in zip(n_words, hit, strict=True)], pa.bool_())]
+        return pa.RecordBatch.from_arrays([columns[0], *out], names=["doc_id", "n_words", "n_hit", "item_ids", "spans", "contaminated"])
+
+    return scanned(common.texts(docs), items, finish, "doc_id long, n_words long, n_hit long, item_ids array<string>, spans array<struct<start:long,stop:long>>, contaminated boolean", window, block_words)
 
 
 def remove(text: str, spans: list[tuple[int, int]]) -> str:
@@ -282,18 +288,14 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, block
 
     Columns are those of ``docs``; a document without a hit is returned as it is.
     """
-    at, columns = docs.columns.index("text"), len(docs.columns)
+    at = docs.columns.index("text")
 
-    def clean(batches):
-        for batch in batches:
-            values, n_words = batch.column(at).to_pylist(), batch.column(columns).to_pylist()
-            spans = [[(x["start"], x["stop"]) for x in found] for found in batch.column(columns + 2).to_pylist()]
-            keep = [not contaminated(n, sum(e - s for s, e in x)) for n, x in zip(n_words, spans, strict=True)]
-            new = [remove(x, found) if found else x for x, found in zip(values, spans, strict=True)]
-            out = [*batch.columns[:at], pa.array(new, batch.schema.field(at).type), *batch.columns[at + 1 : columns]]
-            yield pa.RecordBatch.from_arrays(out, names=batch.schema.names[:columns]).filter(pa.array(keep, pa.bool_()))
+    def finish(columns, schema, values, n_words, spans, _):
+        keep = [not contaminated(n, sum(e - s for s, e in x)) for n, x in zip(n_words, spans, strict=True)]
+        new = [remove(x, found) if found else x for x, found in zip(values, spans, strict=True)]
+        return pa.RecordBatch.from_arrays([*columns[:at], pa.array(new, schema.field(at).type), *columns[at + 1 :]], names=schema.names[: len(columns)]).filter(pa.array(keep, pa.bool_()))
 
-    return scanned(docs, items, window, block_words).mapInArrow(clean, docs.schema)
+    return scanned(docs, items, finish, docs.schema, window, block_words)
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -122,8 +122,8 @@ def find_secrets(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
     def scan(batches):
         encode = token_counts.encoding(path).encode_ordinary
-        for batch in batches:
-            found = [all_spans(x, encode) for x in batch.column(1).to_pylist()]
+        for batch, values in common.slices(batches, 1):
+            found = [all_spans(x, encode) for x in values]
             counts = [pa.array([sum(k == kind for k, _, _ in b) for b, _ in found], pa.int64()) for kind, *_ in BASE]
             yield pa.RecordBatch.from_arrays([batch.column(0), *counts, pa.array([joined(b) for b, _ in found], pa.string()), pa.array([joined(a) for _, a in found], pa.string())], schema=schema)
 
@@ -146,8 +146,8 @@ def redact_secrets(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
     def clean(batches):
         encode = token_counts.encoding(path).encode_ordinary
-        for batch in batches:
-            new = [x and redact(x, all_spans(x, encode)[1]) for x in batch.column(at).to_pylist()]
+        for batch, values in common.slices(batches, at):
+            new = [x and redact(x, all_spans(x, encode)[1]) for x in values]
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(new, batch.schema.field(at).type), *batch.columns[at + 1 :]], schema=batch.schema)
 
     return docs.mapInArrow(clean, docs.schema)

@@ -53,8 +53,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         common.held("simhash", None, int)
-        for batch in batches:
-            fp = np.array([fingerprint(x) for x in batch.column(1).to_pylist()], np.uint64)
+        for batch, values in common.slices(batches, 1):
+            fp = np.array([fingerprint(x) for x in values], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
     return common.texts(docs).mapInArrow(run, "doc_id long, fp long")

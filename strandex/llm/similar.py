@@ -66,14 +66,6 @@ def prefix(of: np.ndarray, crowded: np.ndarray, p: int, q: int) -> np.ndarray:
     return of[np.lexsort((of, last))[: len(of) + (-p * len(of)) // q + 1]]
 
 
-def _chunks(batches, column: int):
-    """Slices of the batches and their values, little text at once."""
-    for batch in batches:
-        values = batch.column(column).to_pylist()
-        for lo, hi in common.chunked(values):
-            yield batch.slice(lo, hi - lo), values[lo:hi]
-
-
 def _sets(frame: DataFrame, size: int, wanted=None) -> DataFrame:
     """id, t, items: the shingles of a table id, t, text; of those alone whose t the filter has, if there is one."""
 
@@ -83,7 +75,7 @@ def _sets(frame: DataFrame, size: int, wanted=None) -> DataFrame:
             if wanted is not None:
                 place = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64) & np.uint64((1 << FILTER_BITS) - 1)
                 batch = batch.filter(pa.array((wanted.value[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)))
-            for some, values in _chunks([batch], 2):
+            for some, values in common.slices([batch], 2):
                 items = [shingles(x, size).view(np.int64) for x in values]
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(items, _LONGS)], names=["id", "t", "items"])
 
@@ -120,7 +112,7 @@ def _marked(texts: DataFrame, size: int, p: int, q: int) -> DataFrame:
 
     def run(batches):
         common.held("similar", None, int)
-        for batch, values in _chunks(batches, 1):
+        for batch, values in common.slices(batches, 1):
             sets = [shingles(x, size) for x in values]
             fp = np.array([simhash.fingerprint(x) for x in values], np.uint64).view(np.int64)
             sig = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)

@@ -187,17 +187,14 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], cut: float = CUT) ->
     def run(batches):
         common.held("toxicity", None, int)
         w, bias = held.value
-        for batch in batches:
-            values = batch.column(1).to_pylist()
-            for lo, hi in common.chunked([x.encode("utf-8", "surrogatepass") for x in values]):
-                some = values[lo:hi]
-                s, (doc, sentence, p) = noisy_or(some, w, bias)
-                worst: list[str | None] = [None] * len(some)
-                for d in np.flatnonzero(s >= cut).tolist():
-                    a, b = np.searchsorted(doc, [d, d + 1])
-                    if a < b:
-                        worst[d] = sentences(some[d])[int(sentence[a + p[a:b].argmax()])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(s), pa.array((s >= cut).astype(np.int32)), pa.array(worst, pa.string())], names=["doc_id", "score", "predicted", "offending"])
+        for part, some in common.slices(batches, 1):
+            s, (doc, sentence, p) = noisy_or(some, w, bias)
+            worst: list[str | None] = [None] * len(some)
+            for d in np.flatnonzero(s >= cut).tolist():
+                a, b = np.searchsorted(doc, [d, d + 1])
+                if a < b:
+                    worst[d] = sentences(some[d])[int(sentence[a + p[a:b].argmax()])]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s), pa.array((s >= cut).astype(np.int32)), pa.array(worst, pa.string())], names=["doc_id", "score", "predicted", "offending"])
 
     scored = common.texts(docs).mapInArrow(run, "doc_id long, score double, predicted int, offending string")
     return scored.select("doc_id", (common.remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted", "offending")
@@ -216,11 +213,9 @@ def reject(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
     def run(batches):
         common.held("toxicity", None, int)
         w, bias = held.value
-        for batch in batches:
-            values = batch.column(at).to_pylist()
-            for lo, hi in common.chunked([(x or "").encode("utf-8", "surrogatepass") for x in values]):
-                s, _ = noisy_or(values[lo:hi], w, bias)
-                yield batch.slice(lo, hi - lo).filter(pa.array(s < cut))
+        for part, values in common.slices(batches, at):
+            s, _ = noisy_or(values, w, bias)
+            yield part.filter(pa.array(s < cut))
 
     return docs.mapInArrow(run, docs.schema)
 
