@@ -3,7 +3,10 @@
 #: Names of water residues.
 WATER = ("HOH", "WAT", "H2O", "DOD", "TIP")
 #: Elements taken for metals.
-METALS = tuple("CA CO MG MN FE CU ZN LI NA K RB SR CS BA CR NI RU RH PD AG CD LA W OS IR PT AU HG CE PR SM EU GD TB YB LU AL GA IN SB TL PB".split())
+METALS = (
+    "LI", "NA", "MG", "AL", "K", "CA", "CR", "MN", "FE", "CO", "NI", "CU", "ZN", "GA", "RB", "SR", "RU", "RH", "PD", "AG", "CD", "IN", "SB", "CS", "BA", "LA", "CE", "PR", "SM", "EU", "GD",
+    "TB", "YB", "LU", "W", "OS", "IR", "PT", "AU", "HG", "TL", "PB",
+)
 #: The twenty standard residues and the nucleotides.
 AMINO = tuple("ALA ARG ASN ASP CYS GLN GLU GLY HIS ILE LEU LYS MET PHE PRO SER THR TRP TYR VAL".split())
 NUCLEOTIDES = tuple("DA DC DG DT DU DI A C G U I".split())
@@ -22,6 +25,10 @@ ONE_LETTER = {"A": "ALA", "R": "ARG", "N": "ASN", "D": "ASP", "C": "CYS", "Q": "
 
 #: Interaction kinds in order, with contact energy (kJ/mol) and short label.
 KINDS = ("hydrogen-bond", "salt-bridge", "hydrophobic", "pi-stacking", "pi-cation", "halogen-bond", "water-bridge", "metal-coordination", "disulfide")
+SHORT = {
+    "hydrogen-bond": "H-bond", "salt-bridge": "salt", "hydrophobic": "phobic", "pi-stacking": "π-stack", "pi-cation": "π-cation", "halogen-bond": "halogen", "water-bridge": "water",
+    "metal-coordination": "metal", "disulfide": "S-S",
+}
 ENERGY = {"hydrogen-bond": 20.0, "salt-bridge": 17.0, "hydrophobic": 0.3, "pi-stacking": 10.0, "pi-cation": 12.5, "halogen-bond": 12.0, "water-bridge": 12.5, "metal-coordination": 70.0, "disulfide": 251.0}
 
 #: Charged groups of standard residues: sign and atoms.

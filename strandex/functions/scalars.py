@@ -42,6 +42,11 @@ def kind_order(kind: Column) -> Column:
     return lookup({k: i for i, k in enumerate(C.KINDS)}, kind)
 
 
+def kind_short(kind: Column) -> Column:
+    """The kind's label in legends."""
+    return lookup(C.SHORT, kind)
+
+
 def reduce_dssp(letter: Column) -> Column:
     """DSSP's eight states to helix, sheet, coil."""
     return F.when(letter.isin("H", "G", "I"), "H").when(letter.isin("E", "B"), "E").otherwise("C")

@@ -38,6 +38,11 @@ def bonds(table: DataFrame, most: int = 2) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select(F.col("a_sid").alias("sid"), F.col("a_run").alias("acceptor"), F.col("b_run").alias("donor"), F.col("a_idx").alias("acceptor_idx"), F.col("b_idx").alias("donor_idx"), "energy")
 
 
+def ordered(bonds_: DataFrame) -> DataFrame:
+    """Bonds by structure, donor and acceptor."""
+    return bonds_.orderBy("sid", "donor", "acceptor")
+
+
 def structure(table: DataFrame, bonds_: DataFrame) -> DataFrame:
     """sid, run, ss: helix over sheet over 3-10 and pi helix over turn over coil, as a set of joins."""
     chain = table.select("sid", "run", "chain")

@@ -21,8 +21,15 @@ def donors(atoms: DataFrame, scale: float = 1.0, graph: DataFrame | None = None,
     with the names of the neighbour(s) that orient them.
     """
     runs = residues.runs(atoms).withColumn("p", G.at(scale=scale))
-    place = runs.groupBy("sid", "run", "name").agg(F.max_by("p", "atom_idx").alias("p"))
-    near = lambda name, alias: place.select("sid", "run", F.col("name").alias(name), F.col("p").alias(alias))
+    place = runs.groupBy("sid", "run", "name").agg(F.sort_array(F.collect_list(F.struct("atom_idx", "altloc", "p"))).alias("copies"))
+    near = lambda name, alias: place.select("sid", "run", F.col("name").alias(name), F.col("copies").alias(alias))
+
+    def copy(alias: str) -> Column:
+        """Where the neighbour is in the donor's own conformer, else in none, else in any: the first atom of each."""
+        own = F.filter(alias, lambda c: c["altloc"].eqNullSafe(F.col("altloc")))
+        shared = F.filter(alias, lambda c: c["altloc"].isNull())
+        return F.coalesce(*(F.get(x, F.lit(0))["p"] for x in (own, shared, F.col(alias))))
+
     spark = atoms.sparkSession
     bonded: dict[tuple[str, str], list[str]] = {}
     for resn, a, b in C.side_chain_bonds():
@@ -45,7 +52,7 @@ def donors(atoms: DataFrame, scale: float = 1.0, graph: DataFrame | None = None,
             extra = graph.join(runs.select("sid", F.col("atom_idx").alias("a_idx"), "run"), ["sid", "a_idx"]).join(inner, ["sid", "b_idx"]).where("run <> b_run").groupBy("sid", F.col("a_idx").alias("atom_idx")).agg(F.count("*").alias("extra"))
             found = found.join(extra, ["sid", "atom_idx"], "left").withColumn("count", F.col("count") - F.coalesce("extra", F.lit(0)).cast("int")).where("count > 0")
         placed = placed.unionByName(found.select(*columns))
-    placed = placed.join(near("first", "q1"), ["sid", "run", "first"]).join(near("second", "q2"), ["sid", "run", "second"], "left")
+    placed = placed.join(near("first", "q1"), ["sid", "run", "first"]).join(near("second", "q2"), ["sid", "run", "second"], "left").withColumns({"q1": copy("q1"), "q2": copy("q2")})
     fixed = (
         F.when(F.col("class") == "planar", G.planar_pair(F.col("p"), F.col("q1"), F.col("q2")))
         .when(F.col("class") == "straddling", G.straddling_pair(F.col("p"), F.col("q1"), F.col("q2")))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandex import constants as C
@@ -76,18 +76,19 @@ def salt_bridges(atoms: DataFrame, scale: float = 1.0, groups: DataFrame | None
 def rings(atoms: DataFrame, scale: float = 1.0, members: dict | None = None, comp_rings: DataFrame | None = None) -> DataFrame:
     """sid, ring (number in the structure's run), chain, resi, icode, atoms in ring order, centre x, y, z and unit normal.
 
-    A ring with a missing atom is none.  ``members``: residue to tuples of names
+    A ring with a missing atom is none; of a repeated name the first atom counts,
+    and the residue is what its first atom says.  ``members``: residue to tuples of names
     (by default the standard ones); ``comp_rings``: sid, comp_id, ring, ord, size, atom_name.
     """
     spark = atoms.sparkSession
     rows = [(r, k, i, len(names), n) for r, found in (C.RINGS if members is None else members).items() for k, names in enumerate(found) for i, n in enumerate(names)]
     table = spark.createDataFrame(rows, "resn string, ring int, ord int, size int, name string")
-    runs = residues.runs(atoms)
+    runs = residues.runs(atoms).withColumn("resn", F.first("resn").over(Window.partitionBy("sid", "run").orderBy("atom_idx")))
     parts = runs.join(F.broadcast(table), ["resn", "name"]).select("sid", "run", "ring", "ord", "size", "atom_idx", *residues.KEY, "x", "y", "z")  # a fixed table
     if comp_rings is not None:
         own = comp_rings.select("sid", F.col("comp_id").alias("resn"), "ring", "ord", "size", F.col("atom_name").alias("name")).where(~F.col("resn").isin(*C.AMINO))
         parts = parts.unionByName(runs.join(own, ["sid", "resn", "name"]).select(*parts.columns))
-    one = parts.groupBy("sid", "run", "ring", "size", "ord").agg(F.max_by(F.struct("atom_idx", *residues.KEY, "x", "y", "z"), "atom_idx").alias("m"))
+    one = parts.groupBy("sid", "run", "ring", "size", "ord").agg(F.min_by(F.struct("atom_idx", *residues.KEY, "x", "y", "z"), "atom_idx").alias("m"))
     whole = one.groupBy("sid", "run", "ring", "size").agg(F.sort_array(F.collect_list(F.struct("ord", "m"))).alias("members")).where(F.size("members") == F.col("size"))
     points = F.transform("members", lambda r: G.vec(r["m"]["x"] / scale, r["m"]["y"] / scale, r["m"]["z"] / scale))
     total = lambda c: F.aggregate("members", F.lit(0.0), lambda s, r: s + r["m"][c])
@@ -249,4 +250,9 @@ def records(found: DataFrame, atoms: DataFrame) -> DataFrame:
     return joined.select("sid", "kind", *(f"{p}_{c}" for p in "ab" for c in ("chain", "resi", "icode", "resn", "atoms")), F.round("distance", 2).alias("distance"), F.round("angle", 1).alias("angle"), scalars.kind_order(F.col("kind")).alias("kind_ord"))
 
 
+def ordered(found: DataFrame) -> DataFrame:
+    """Contacts by structure, kind and the atoms of either side."""
+    return found.orderBy("sid", scalars.kind_order(F.col("kind")), "atoms_a", "atoms_b", "bridge")
+
+
 REPORT_ORDER = ("sid", "kind", "a_chain", "a_resi", "a_icode", "b_chain", "b_resi", "b_icode", "a_atoms", "b_atoms")

@@ -11,7 +11,7 @@ from collections import deque
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandex.functions import scalars
@@ -288,8 +288,6 @@ def motifs(nodes_: DataFrame, links: DataFrame, ss: DataFrame, least: int = 3) -
     A ladder is a run of starts i, i + 4, i + 8 ...: an island of consecutive
     steps, so it needs no walk that could go in circles.
     """
-    from pyspark.sql import Window
-
     four = links.where("abs(target - source) = 4").select("sid", F.least("source", "target").alias("i")).distinct()
     w = Window.partitionBy("sid", F.expr("i % 4")).orderBy("i")
     islands = four.withColumn("island", F.col("i") - 4 * F.row_number().over(w))
@@ -301,12 +299,49 @@ def motifs(nodes_: DataFrame, links: DataFrame, ss: DataFrame, least: int = 3) -
 
 
 def top_hubs(nodes_: DataFrame, betweenness_: DataFrame, k: int = 10) -> DataFrame:
-    """The k nodes of highest betweenness, then degree, then residue order."""
-    return nodes_.join(betweenness_, ["sid", "id"]).orderBy(F.desc("betweenness"), F.desc("degree"), "sid", *_KEY).limit(k)
+    """The k nodes of highest betweenness, then degree, then residue order, of each structure; rank counts from 1."""
+    best = Window.partitionBy("sid").orderBy(F.desc("betweenness"), F.desc("degree"), *_KEY)
+    return nodes_.join(betweenness_, ["sid", "id"]).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
 def top_components(components_: DataFrame, k: int = 10) -> DataFrame:
-    return components_.groupBy("sid", "component").agg(F.count("*").alias("size")).orderBy(F.desc("size"), "sid", "component").limit(k)
+    """The k largest components of each structure; rank counts from 1, ties go by the name of the first node."""
+    best = Window.partitionBy("sid").orderBy(F.desc("size"), "component")
+    return components_.groupBy("sid", "component").agg(F.count("*").alias("size")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
+def burial(nodes_: DataFrame, areas: DataFrame) -> DataFrame:
+    """The nodes with the summed surface of their residue (sid, key, resn, sasa) and its share of the largest one."""
+    sums = areas.select("sid", scalars.node_id(*map(F.col, _KEY)).alias("id"), "sasa").groupBy("sid", "id").agg(F.sum("sasa").alias("sasa"))
+    joined = nodes_.join(sums, ["sid", "id"], "left").withColumn("sasa", F.coalesce("sasa", F.lit(0.0)))
+    return joined.withColumn("rsa", scalars.relative_sasa(F.col("sasa"), F.col("resn")))
+
+
+def present_kinds(edges_: DataFrame) -> DataFrame:
+    """sid, kind, short label and place in the display order of the kinds that a structure has."""
+    return edges_.select("sid", "kind").distinct().select("sid", "kind", scalars.kind_short(F.col("kind")).alias("short"), scalars.kind_order(F.col("kind")).alias("kind_ord"))
+
+
+def ordered(edges_: DataFrame, nodes_: DataFrame) -> DataFrame:
+    """Edges by structure, the residues of both ends, and kind."""
+    end = lambda p: nodes_.select("sid", F.col("id").alias(p), F.struct("chain", "resi", F.coalesce("icode", F.lit(""))).alias(f"{p}_key"))
+    keyed = edges_.join(end("source"), ["sid", "source"]).join(end("target"), ["sid", "target"])
+    return keyed.orderBy("sid", "source_key", "target_key", scalars.kind_order(F.col("kind"))).select(*edges_.columns)
+
+
+def node(nodes_: DataFrame, id: str) -> DataFrame:
+    """That residue in each structure that has it."""
+    return nodes_.where(F.col("id") == id)
+
+
+def build(atoms: DataFrame, found: DataFrame, areas: DataFrame | None = None, steps: int = 300) -> dict[str, DataFrame]:
+    """A network with all that is shown of it: edges, nodes (degree, betweenness, burial if there are areas, place), components, kinds, cut residues."""
+    links = edges(found, atoms)
+    table = nodes(links, atoms)
+    if areas is not None:
+        table = burial(table, areas)
+    table = table.join(betweenness(links), ["sid", "id"]).join(layouts(links, steps), ["sid", "id"])
+    return {"edges": links, "nodes": table, "components": components(links), "kinds": present_kinds(links), "cuts": cut_residues(links)}
 
 
 def rollup(edges_: DataFrame) -> DataFrame:

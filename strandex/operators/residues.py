@@ -69,6 +69,14 @@ def calpha_trace(atoms: DataFrame, scale: float = 1.0) -> DataFrame:
     return after.where((F.col("chain") == F.col("b_chain")) & (F.col("b_resi") == F.col("a_resi") + 1)).withColumn("d2", distance2("a_", "b_")).where((F.col("d2") >= lo) & (F.col("d2") <= hi)).select("sid", "chain", "a_resi", "b_resi", "a_idx", "b_idx", "d2")
 
 
+def depth_slab(atoms: DataFrame, far: float, near: float, depth: Column | str = "z") -> DataFrame:
+    """Atoms whose depth, as a share of their structure's range from the least (0) to the largest (1), lies between far and near."""
+    depth = F.col(depth) if isinstance(depth, str) else depth
+    whole = Window.partitionBy("sid")
+    least, most = F.min(depth).over(whole), F.max(depth).over(whole)
+    return atoms.withColumn("slab", F.when(most > least, (depth - least) / (most - least)).otherwise(0.0)).where((F.col("slab") >= far) & (F.col("slab") <= near)).drop("slab")
+
+
 def bfactor_range(atoms: DataFrame) -> DataFrame:
     """2 % and 98 % of each structure's B-factors, taken at index trunc(n * p); NaN doesn't count; (0, 100) without values."""
     w = Window.partitionBy("sid")

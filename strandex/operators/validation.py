@@ -67,6 +67,60 @@ def compare_surface(predicted: DataFrame, reference: DataFrame) -> DataFrame:
     return joined.groupBy("sid").agg(*(c.alias(n) for n, c in error_stats("predicted", "reference").items()), F.count("*").alias("n_residues"))
 
 
+def compare_contacts(predicted: DataFrame, reference: DataFrame, scope: DataFrame, ligands: DataFrame) -> DataFrame:
+    """Agreement of the kinds that each reference file scores, also those in which nothing was found.
+
+    ``scope``: sid, kinds, ligand_scoped; where it is ligand-scoped only
+    predicted edges that touch a ligand residue count.
+    """
+    kinds = scope.select("sid", F.explode("kinds").alias("kind"), F.coalesce("ligand_scoped", F.lit(False)).alias("ligand_scoped")).distinct()
+    asked = predicted.select(*_EDGE).join(kinds, ["sid", "kind"])
+    counted = asked.where("not ligand_scoped").unionByName(near_ligands(asked.where("ligand_scoped"), ligands))
+    found = set_agreement(counted, reference.join(kinds, ["sid", "kind"], "left_semi")).select("sid", "kind", "n_predicted", "n_reference", "n_common")
+    return scored(kinds.select("sid", "kind").join(found, ["sid", "kind"], "left").fillna(0))
+
+
+def predict(structures: dict[str, DataFrame], scale: float = 1.0) -> dict[str, DataFrame]:
+    """What is compared of all structures (as ``read_structures`` gives them): ss, bonds, surface, contacts, ligands."""
+    from strandex.operators import components, interactions, network, roles, sasa
+
+    atoms = structures["atoms"]
+    ss = atoms.groupBy("sid", *residues.KEY).agg(F.min_by("ss", "atom_idx").alias("ss"))
+    backbone = structures["bonds"].select("sid", F.lit("backbone").alias("kind"), F.lit(0.0).alias("distance"), F.array("donor_idx").alias("atoms_a"), F.array("acceptor_idx").alias("atoms_b"))
+    own = components.perceive(structures["comp_atoms"], structures["comp_bonds"]) if "comp_atoms" in structures else None
+    return {
+        "ss": ss, "bonds": network.edges(backbone, atoms).select(*_EDGE), "surface": sasa.residue_areas(atoms, scale),
+        "contacts": residue_pairs(interactions.detect(atoms, scale, components=own), atoms), "ligands": roles.ligand_residues(atoms),
+    }
+
+
+def compare(predicted: dict[str, DataFrame], references: dict[str, DataFrame | None]) -> tuple[DataFrame, DataFrame | None]:
+    """A row for each structure with a reference (q3, hbond_f1, mae and how many residues), and the agreement of contacts.
+
+    ``references``: ss, bonds, surface, contacts and scope; those that are
+    missing are left out.
+    """
+    parts = []
+    if references.get("ss") is not None:
+        parts.append(compare_structure(predicted["ss"], references["ss"]))
+    if references.get("bonds") is not None:
+        bonds = references["bonds"]
+        own = predicted["bonds"].join(bonds.select("sid").distinct(), "sid", "left_semi")
+        parts.append(set_agreement(own, bonds).select("sid", F.col("f1").alias("hbond_f1")))
+    if references.get("surface") is not None:
+        parts.append(compare_surface(predicted["surface"], references["surface"]).withColumnRenamed("n_residues", "n_surface"))
+    entries = None
+    for part in parts:
+        entries = part if entries is None else entries.join(part, "sid", "full")
+    if entries is None:
+        entries = predicted["ss"].select("sid").limit(0)
+    kinds = {"n_residues": "long", "q3": "double", "hbond_f1": "double", "mae": "double", "median_error": "double", "pearson": "double", "n_surface": "long"}
+    entries = entries.select("sid", *(F.col(c) if c in entries.columns else F.lit(None).cast(k).alias(c) for c, k in kinds.items()))
+    if references.get("contacts") is None:
+        return entries, None
+    return entries, compare_contacts(predicted["contacts"], references["contacts"], references["scope"], predicted["ligands"])
+
+
 def summary(agreement: DataFrame, by: str = "kind") -> DataFrame:
     """Macro means (each structure weighs the same), micro scores (each edge does), totals, and how many entries were vacuous."""
     g = agreement.groupBy(by).agg(*(F.avg(c).alias(f"macro_{c}") for c in ("precision", "recall", "f1")), *(F.sum(c).alias(c) for c in ("n_predicted", "n_reference", "n_common")), F.count("*").alias("n_entries"), F.sum(F.col("vacuous").cast("int")).alias("n_vacuous"))

@@ -218,12 +218,12 @@ def _newell(c: str) -> str:
     return " + ".join(f"(p{i}{u} - p{(i + 1) % 5}{u}) * (p{i}{v} + p{(i + 1) % 5}{v})" for i in range(5))
 
 
-_RING_SQL = f"""pos as (select l.sid, l.run, l.name, l.atom_idx, e.x / 1000.0::double as x, e.y / 1000.0::double as y, e.z / 1000.0::double as z, e.x as ix, e.y as iy, e.z as iz, e.chain, e.resi, e.icode from lastname l join el e on e.sid = l.sid and e.atom_idx = l.atom_idx where e.{_AMINO_SQL}),
+_RING_SQL = f"""head as (select sid, run, arg_min(resn, atom_idx) as resn from runs group by sid, run), firstname as (select sid, run, name, min(atom_idx) as atom_idx from runs group by all),
+pos as (select l.sid, l.run, l.name, l.atom_idx, e.x / 1000.0::double as x, e.y / 1000.0::double as y, e.z / 1000.0::double as z, e.x as ix, e.y as iy, e.z as iz, e.chain, e.resi, e.icode from firstname l join el e on e.sid = l.sid and e.atom_idx = l.atom_idx join head on head.sid = l.sid and head.run = l.run where head.{_AMINO_SQL}),
 five as (select p0.sid, p0.run, p0.chain, p0.resi, p0.icode, concat_ws('+', {', '.join(f'p{i}.atom_idx' for i in range(5))}) as atoms, {', '.join(f'p{i}.{c} as p{i}{c}' for i in range(5) for c in 'xyz')}, {', '.join('(' + ' + '.join(f'p{i}.i{c}' for i in range(5)) + f') / 5.0::double as {c}' for c in 'xyz')}
   from pos p0 {' '.join(f"join pos p{i} on p{i}.sid = p0.sid and p{i}.run = p0.run and p{i}.name = '{n}'" for i, n in enumerate(_FIVE) if i)} where p0.name = 'N'),
 raw_ring as (select *, {', '.join(f'{_newell(c)} as m{c}' for c in 'xyz')} from five),
 ring as (select *, {', '.join(f'm{c} / sqrt(mx * mx + my * my + mz * mz) as n{c}' for c in 'xyz')} from raw_ring where sqrt(mx * mx + my * my + mz * mz) > 1e-6)"""
-_LAST = "lastname as (select sid, run, name, max(atom_idx) as atom_idx from runs group by all)"
 
 
 def _offset_sql(q: str, r: str) -> str:
@@ -233,11 +233,11 @@ def _offset_sql(q: str, r: str) -> str:
     return "sqrt(" + " + ".join(f"{x} * {x}" for x in rest) + ")"
 
 
-_query("pi_stacking", f"""{_WITH}, {_RUNS}, {_LAST}, {_RING_SQL}, p as (select a.sid, a.atoms as a, b.atoms as b, {_d2('a', 'b')} as d2, least({_offset_sql('a', 'b')}, {_offset_sql('b', 'a')}) as off, degrees(acos(greatest(-1.0, least(1.0, a.nx * b.nx + a.ny * b.ny + a.nz * b.nz)))) as t
+_query("pi_stacking", f"""{_WITH}, {_RUNS}, {_RING_SQL}, p as (select a.sid, a.atoms as a, b.atoms as b, {_d2('a', 'b')} as d2, least({_offset_sql('a', 'b')}, {_offset_sql('b', 'a')}) as off, degrees(acos(greatest(-1.0, least(1.0, a.nx * b.nx + a.ny * b.ny + a.nz * b.nz)))) as t
   from ring a join ring b on a.sid = b.sid and a.run < b.run where {_other_residue('a', 'b')})
 select {_flat_sql('pi-stacking', 'a', 'b', 'd2', 'round(ang, 1)')} from (select *, least(t, 180 - t) as ang from p where d2 > 250000 and d2 < 30250000 and off < 2.0) where ang < 30 or ang > 60""")(
     lambda a: _flat(interactions.pi_stacking(interactions.rings(a, S, _PSEUDO_RINGS), S)))
-_query("pi_cation", f"""{_WITH}, {_RUNS}, {_GROUPS}, {_LAST}, {_RING_SQL} select {_flat_sql('pi-cation', 'a', 'b', 'd2')} from (select a.sid, a.atoms as a, b.atoms as b, {_d2('a', 'b')} as d2, {_offset_sql('b', 'a')} as off from ring a join grp b on a.sid = b.sid and b.sign > 0 where {_other_residue('a', 'b')}) where d2 > 250000 and d2 < 36000000 and off < 2.0""")(
+_query("pi_cation", f"""{_WITH}, {_RUNS}, {_GROUPS}, {_RING_SQL} select {_flat_sql('pi-cation', 'a', 'b', 'd2')} from (select a.sid, a.atoms as a, b.atoms as b, {_d2('a', 'b')} as d2, {_offset_sql('b', 'a')} as off from ring a join grp b on a.sid = b.sid and b.sign > 0 where {_other_residue('a', 'b')}) where d2 > 250000 and d2 < 36000000 and off < 2.0""")(
     lambda a: _flat(interactions.pi_cation(interactions.rings(a, S, _PSEUDO_RINGS), interactions.charged_groups(a, S), S)))
 
 
@@ -255,25 +255,41 @@ def _rotor_sql(target: str) -> str:
     select *, {', '.join(f'(d{c} - q{c}) / sqrt((dx - qx) * (dx - qx) + (dy - qy) * (dy - qy) + (dz - qz) * (dz - qz)) as u{c}' for c in 'xyz')}, {', '.join(f'{target}{c} - d{c} as t{c}' for c in 'xyz')} from"""
 
 
-_SER = f"""ser as (select d.sid, d.atom_idx as d, d.chain, d.resi, d.icode, d.x, d.y, d.z, {_xyz('d', 'd')}, {_xyz('q', 'q')} from runs d join lastname l on l.sid = d.sid and l.run = d.run and l.name = 'CB' join el q on q.sid = l.sid and q.atom_idx = l.atom_idx where d.name = 'OG' and d.resn = 'SER')"""
+_SER = f"""near as (select d.sid, d.atom_idx as d, arg_min(q.atom_idx, (case when q.altloc is not distinct from d.altloc then 0 when q.altloc is null then 1 else 2 end, q.atom_idx)) as atom_idx
+  from runs d join runs q on q.sid = d.sid and q.run = d.run and q.name = 'CB' where d.name = 'OG' and d.resn = 'SER' group by d.sid, d.atom_idx),
+ser as (select d.sid, d.atom_idx as d, d.chain, d.resi, d.icode, d.x, d.y, d.z, {_xyz('d', 'd')}, {_xyz('q', 'q')} from runs d join near l on l.sid = d.sid and l.d = d.atom_idx join el q on q.sid = l.sid and q.atom_idx = l.atom_idx)"""
 _ACC = f"acc as (select * from el where {_AMINO_SQL} and (element = 'O' or resn = 'HIS' and name in ('ND1', 'NE2')))"
-_query("hydrogen_bond", f"""{_WITH}, {_RUNS}, {_LAST}, {_SER}, {_ACC}, p as (select s.*, a.atom_idx as a, {_xyz('a', 'a')}, {_d2('s', 'a')} as d2 from ser s join acc a on a.sid = s.sid where {_other_residue('s', 'a')} and {_d2('s', 'a')} > 250000 and {_d2('s', 'a')} < 16810000),
+_query("hydrogen_bond")(lambda a: _flat(interactions.hydrogen_bonds(hydrogens.donors(a, S), roles.acceptors(a), S)))
+_query("water_bridge")(lambda a: _flat(interactions.water_bridges(a, hydrogens.donors(a, S), roles.acceptors(a), S)))
+_query("hydrogen_bond_hydroxyl", f"""{_WITH}, {_RUNS}, {_SER}, {_ACC}, p as (select s.*, a.atom_idx as a, {_xyz('a', 'a')}, {_d2('s', 'a')} as d2 from ser s join acc a on a.sid = s.sid where {_other_residue('s', 'a')} and {_d2('s', 'a')} > 250000 and {_d2('s', 'a')} < 16810000),
 h as (select *, {_angle_sql('h', 'd', 'a')} as ang from ({_rotor_sql('a')} p)))), best as (select *, row_number() over (partition by sid, d order by ang desc, a) as k from h where ang > 100)
 select {_flat_sql('hydrogen-bond', 'd', 'a', 'd2', 'round(ang, 1)')} from best where k = 1""")(lambda a: _flat(interactions.hydrogen_bonds(_serine(a), roles.acceptors(a), S)))
-_query("water_bridge", f"""{_WITH}, {_RUNS}, {_LAST}, {_SER}, {_ACC}, wat as (select * from el where {_WATER_SQL} and element = 'O'),
+_query("water_bridge_hydroxyl", f"""{_WITH}, {_RUNS}, {_SER}, {_ACC}, wat as (select * from el where {_WATER_SQL} and element = 'O'),
 leg as (select s.*, w.atom_idx as w, {_xyz('w', 'w')}, {_d2('s', 'w')} as d2a from ser s join wat w on w.sid = s.sid where {_d2('s', 'w')} between 6250000 and 16810000),
 h as (select *, {_angle_sql('h', 'd', 'w')} as theta from ({_rotor_sql('w')} leg)))),
 p as (select h.*, a.atom_idx as a, {_xyz('a', 'a')}, {_d2('a', 'v')} as d2b from h join wat v on v.sid = h.sid and v.atom_idx = h.w join acc a on a.sid = h.sid where theta > 100 and {_d2('a', 'v')} between 6250000 and 16810000 and {_other_residue('a', 'h')})
 select {_flat_sql('water-bridge', 'd', 'a', 'greatest(d2a, d2b)', 'round(omega, 1)', 'w')} from (select *, {_angle_sql('w', 'a', 'h')} as omega from p) where omega > 71 and omega < 140""")(lambda a: _flat(interactions.water_bridges(a, _serine(a), roles.acceptors(a), S)))
 
 
-@_query("interactions_touching", f"{_WITH}, {_RUNS}, {_GROUPS}, found as ({_DISULFIDE} union all {_METAL} union all {_SALT}) select f.* from found f where exists (select 1 from el e where e.sid = f.sid and e.chain = 'B' and list_contains(string_split(f.atoms_a || '+' || f.atoms_b, '+'), cast(e.atom_idx as varchar)))")
-def interactions_touching(a: DataFrame) -> DataFrame:
-    return _flat(interactions.touching(_three(a), selection.select("chain B", a)))
+#: The kinds that the SQL of the networks has; a caller narrows kinds in the same way.
+_THREE = ("disulfide", "metal-coordination", "salt-bridge")
 
 
-def _three(a: DataFrame) -> DataFrame:
-    return interactions.detect(a, S, ("disulfide", "metal-coordination", "salt-bridge"))
+def _network_query(name: str, sql: str | None = None):
+    """A query over the contacts of all nine kinds, and if there is SQL the same over three kinds, held against it."""
+
+    def add(f):
+        _query(name)(lambda a: f(a := a.persist(), interactions.detect(a, S)))
+        if sql is not None:
+            _query(f"{name}_three_kinds", sql)(lambda a: f(a, interactions.detect(a, S, _THREE)))
+        return f
+
+    return add
+
+
+@_network_query("interactions_touching", f"{_WITH}, {_RUNS}, {_GROUPS}, found as ({_DISULFIDE} union all {_METAL} union all {_SALT}) select f.* from found f where exists (select 1 from el e where e.sid = f.sid and e.chain = 'B' and list_contains(string_split(f.atoms_a || '+' || f.atoms_b, '+'), cast(e.atom_idx as varchar)))")
+def interactions_touching(a: DataFrame, found: DataFrame) -> DataFrame:
+    return _flat(interactions.touching(found, selection.select("chain B", a)))
 
 
 @_query("interactions_all")
@@ -283,9 +299,9 @@ def interactions_all(a: DataFrame) -> DataFrame:
     return interactions.records(interactions.detect(a, S).persist(), a)
 
 
-@_query("interactions_dedup")
-def interactions_dedup(a: DataFrame) -> DataFrame:
-    return _flat(interactions.dedup_conformers(_three(a), a))
+@_network_query("interactions_dedup")
+def interactions_dedup(a: DataFrame, found: DataFrame) -> DataFrame:
+    return _flat(interactions.dedup_conformers(found, a))
 
 
 # networks ------------------------------------------------------------------
@@ -300,33 +316,37 @@ edge as (select sid, source, target, p.kind, count(*) as "count", min(distance)
 _NET = f"{_WITH}, {_RUNS}, {_GROUPS}, {_EDGES}"
 
 
-def _edges(a: DataFrame) -> DataFrame:
-    return network.edges(_three(a), a)
+def _edge_query(name: str, sql: str | None = None):
+    """``_network_query`` of the edges."""
+    return lambda f: _network_query(name, sql)(lambda a, found: f(a, network.edges(found, a)))
 
 
-@_query("rin_edges", f"{_NET} select * from edge")
-def rin_edges(a: DataFrame) -> DataFrame:
-    return _edges(a).withColumn("min_distance", F.round("min_distance", 2))
+@_edge_query("rin_edges", f"{_NET} select * from edge")
+def rin_edges(a: DataFrame, e: DataFrame) -> DataFrame:
+    return e.withColumn("min_distance", F.round("min_distance", 2))
 
 
-_query("rin_edges_between_chains", f"{_NET} select sid, source, target, \"count\" from edge where interchain and kind = 'salt-bridge'")(lambda a: network.filter_edges(_edges(a), "salt-bridge", True).select("sid", "source", "target", "count"))
+_edge_query("rin_edges_between_chains", f"{_NET} select sid, source, target, \"count\" from edge where interchain and kind = 'salt-bridge'")(lambda a, e: network.filter_edges(e, "salt-bridge", True).select("sid", "source", "target", "count"))
 _ADJ = "adj as (select sid, source as u, target as v from edge union select sid, target, source from edge)"
-_query("rin_nodes", f"""{_NET}, {_ADJ}, deg as (select sid, u as id, count(distinct v) as degree from adj group by all) select d.sid, d.id, arg_min(e.resn, e.atom_idx) as resn, any_value(degree) as degree from deg d join el e on e.sid = d.sid and {_ID('e')} = d.id group by d.sid, d.id""")(lambda a: network.nodes(_edges(a), a).select("sid", "id", "resn", "degree"))
-_query("rin_components", f"""with recursive {pseudo.SQL}, {_RUNS}, {_GROUPS}, {_EDGES}, {_ADJ}, reach as (select sid, u, u as v from adj union select r.sid, r.u, a.v from reach r join adj a on a.sid = r.sid and a.u = r.v)
-select sid, u as id, count(distinct v) as size from reach group by sid, u""")(lambda a: network.components(_edges(a)).select("sid", "id", "size"))
-_query("rin_bfs_distance", f"""with recursive {pseudo.SQL}, {_RUNS}, {_GROUPS}, {_EDGES}, {_ADJ}, walk as (select sid, min(u) as v, 0 as d from adj group by sid union select w.sid, a.v, d + 1 from walk w join adj a on a.sid = w.sid and a.u = w.v where d < 40)
-select sid, v as id, cast(min(d) as bigint) as distance from walk group by sid, v""")(lambda a: (lambda e: network.bfs_distance(e, network.adjacency(e).groupBy("sid").agg(F.min("source").alias("start"))))(_edges(a)))
-_query("rin_betweenness")(lambda a: network.betweenness(_edges(a)))
-_query("rin_cut_residues", f"""with recursive {pseudo.SQL}, {_RUNS}, {_GROUPS}, {_EDGES}, {_ADJ}, reach as (
+_edge_query("rin_nodes", f"""{_NET}, {_ADJ}, deg as (select sid, u as id, count(distinct v) as degree from adj group by all) select d.sid, d.id, arg_min(e.resn, e.atom_idx) as resn, any_value(degree) as degree from deg d join el e on e.sid = d.sid and {_ID('e')} = d.id group by d.sid, d.id""")(lambda a, e: network.nodes(e, a).select("sid", "id", "resn", "degree"))
+_edge_query("rin_components", f"""with recursive {pseudo.SQL}, {_RUNS}, {_GROUPS}, {_EDGES}, {_ADJ}, reach as (select sid, u, u as v from adj union select r.sid, r.u, a.v from reach r join adj a on a.sid = r.sid and a.u = r.v)
+select sid, u as id, count(distinct v) as size from reach group by sid, u""")(lambda a, e: network.components(e).select("sid", "id", "size"))
+_edge_query("rin_bfs_distance", f"""with recursive {pseudo.SQL}, {_RUNS}, {_GROUPS}, {_EDGES}, {_ADJ}, walk as (select sid, min(u) as v, 0 as d from adj group by sid union select w.sid, a.v, d + 1 from walk w join adj a on a.sid = w.sid and a.u = w.v where d < 40)
+select sid, v as id, cast(min(d) as bigint) as distance from walk group by sid, v""")(lambda a, e: network.bfs_distance(e, network.adjacency(e).groupBy("sid").agg(F.min("source").alias("start"))))
+_edge_query("rin_betweenness")(lambda a, e: network.betweenness(e))
+_edge_query("rin_cut_residues", f"""with recursive {pseudo.SQL}, {_RUNS}, {_GROUPS}, {_EDGES}, {_ADJ}, reach as (
   select a.sid, a.u as cut, b.v as start, b.v as v from (select distinct sid, u from adj) a join adj b on b.sid = a.sid and b.u = a.u
   union select r.sid, r.cut, r.start, a.v from reach r join adj a on a.sid = r.sid and a.u = r.v where a.v <> r.cut)
-select distinct a.sid, a.u as id from adj a join adj b on a.sid = b.sid and a.u = b.u and a.v < b.v where not exists (select 1 from reach r where r.sid = a.sid and r.cut = a.u and r.start = a.v and r.v = b.v)""")(lambda a: network.cut_residues(_edges(a)))
-_query("rin_top_hubs")(lambda a: network.top_hubs(network.nodes(e := _edges(a), a), network.betweenness(e)))
-_query("rin_top_components")(lambda a: network.top_components(network.components(_edges(a))))
-_query("rin_layout")(lambda a: network.layouts(_edges(a)))
-_query("rin_kind_rollup", f"""{_NET} select sid, kind, count(*) as n_edges, cast(sum("count") as bigint) as n_contacts, round(sum(energy), 4) as energy from edge group by rollup (sid, kind)""")(lambda a: network.rollup(_edges(a)))
-_query("edge_intensity", f"{_NET} select sid, source, target, kind, round(0.4 + 0.6 * ln(1 + energy) / ln(1 + max(energy) over (partition by sid)), 6) as intensity from edge")(
-    lambda a: _edges(a).select("sid", "source", "target", "kind", F.round(scalars.edge_intensity(F.col("energy"), F.max("energy").over(Window.partitionBy("sid"))), 6).alias("intensity")))
+select distinct a.sid, a.u as id from adj a join adj b on a.sid = b.sid and a.u = b.u and a.v < b.v where not exists (select 1 from reach r where r.sid = a.sid and r.cut = a.u and r.start = a.v and r.v = b.v)""")(lambda a, e: network.cut_residues(e))
+_edge_query("rin_top_hubs")(lambda a, e: network.top_hubs(network.nodes(e, a), network.betweenness(e)))
+_edge_query("rin_top_components", f"""with recursive {pseudo.SQL}, {_RUNS}, {_GROUPS}, {_EDGES}, {_ADJ}, reach as (select sid, u, u as v from adj union select r.sid, r.u, a.v from reach r join adj a on a.sid = r.sid and a.u = r.v),
+place as (select sid, {_ID('e')} as id, min((chain, resi, coalesce(icode, ''))) as p from el e group by all), named as (select r.sid, r.u, arg_min(r.v, place.p) as component from reach r join place on place.sid = r.sid and place.id = r.v group by r.sid, r.u),
+sized as (select sid, component, count(*) as size from named group by all)
+select * from (select *, cast(row_number() over (partition by sid order by size desc, component) as int) as rank from sized) where rank <= 10""")(lambda a, e: network.top_components(network.components(e)))
+_edge_query("rin_layout")(lambda a, e: network.layouts(e))
+_edge_query("rin_kind_rollup", f"""{_NET} select sid, kind, count(*) as n_edges, cast(sum("count") as bigint) as n_contacts, round(sum(energy), 4) as energy from edge group by rollup (sid, kind)""")(lambda a, e: network.rollup(e))
+_edge_query("edge_intensity", f"{_NET} select sid, source, target, kind, round(0.4 + 0.6 * ln(1 + energy) / ln(1 + max(energy) over (partition by sid)), 6) as intensity from edge")(
+    lambda a, e: e.select("sid", "source", "target", "kind", F.round(scalars.edge_intensity(F.col("energy"), F.max("energy").over(Window.partitionBy("sid"))), 6).alias("intensity")))
 
 
 # secondary structure -------------------------------------------------------
@@ -414,11 +434,11 @@ def metrics_error_stats(a: DataFrame) -> DataFrame:
     return pairs.groupBy("sid").agg(*(F.round(c, 6).alias(n) for n, c in validation.error_stats("p", "r").items()))
 
 
-@_query("metrics_prf1", f"""{_NET}, p as (select distinct sid, kind, source, target from edge where "count" < 3), r as (select distinct sid, kind, source, target from edge where min_distance > 2),
+@_edge_query("metrics_prf1", f"""{_NET}, p as (select distinct sid, kind, source, target from edge where "count" < 3), r as (select distinct sid, kind, source, target from edge where min_distance > 2),
 n as (select sid, kind, sum(p) as np, sum(r) as nr, sum(p * r) as tp from (select coalesce(p.sid, r.sid) as sid, coalesce(p.kind, r.kind) as kind, (p.sid is not null)::int as p, (r.sid is not null)::int as r from p full join r on p.sid = r.sid and p.kind = r.kind and p.source = r.source and p.target = r.target) group by all)
 select sid, kind, cast(np as bigint) as n_predicted, cast(nr as bigint) as n_reference, cast(tp as bigint) as n_common, round(case when np = 0 then (nr = 0)::int::double else tp / np end, 6) as precision, round(case when nr = 0 then (np = 0)::int::double else tp / nr end, 6) as recall from n""")
-def metrics_prf1(a: DataFrame) -> DataFrame:
-    e = _edges(a).withColumn("min_distance", F.round("min_distance", 2))
+def metrics_prf1(a: DataFrame, e: DataFrame) -> DataFrame:
+    e = e.withColumn("min_distance", F.round("min_distance", 2))
     found = validation.set_agreement(e.where("count < 3"), e.where("min_distance > 2"))
     return found.select("sid", "kind", "n_predicted", "n_reference", "n_common", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
 

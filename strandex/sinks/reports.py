@@ -36,6 +36,10 @@ def _text(value) -> str:
     return str(value)
 
 
+#: Components and hubs that a report lists.
+TOP = 10
+
+
 def tsv(rows: Iterable[Row], columns: Sequence[str]) -> str:
     """A header even without rows."""
     return "".join("\t".join(x) + "\n" for x in [list(columns), *([_text(r[c]) for c in columns] for r in rows)])
@@ -65,7 +69,8 @@ def network_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def graphml(nodes: Iterable[Row], edges: Iterable[Row]) -> str:
     keys = [("node", c, t) for c, t in (("chain", "string"), ("resi", "int"), ("icode", "string"), ("resn", "string"), ("ss", "string"), ("degree", "int"))] + [("edge", c, t) for c, t in (("kind", "string"), ("count", "int"), ("min_distance", "double"), ("interchain", "boolean"), ("energy", "double"))]
     quoted = lambda v: escape(_text(v), {'"': "&quot;", "'": "&apos;"})
-    data = lambda kind, r: "".join(f'<data key="{kind}_{c}">{quoted(r[c])}</data>' for k, c, _ in keys if k == kind and r[c] is not None)
+    value = lambda r, c: round(r[c], 2) if c in ("min_distance", "energy") else r[c]
+    data = lambda kind, r: "".join(f'<data key="{kind}_{c}">{quoted(value(r, c))}</data>' for k, c, _ in keys if k == kind and r[c] is not None)
     lines = ['<?xml version="1.0" encoding="UTF-8"?>', '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">']
     lines += [f'  <key id="{k}_{c}" for="{k}" attr.name="{c}" attr.type="{t}"/>' for k, c, t in keys]
     lines += ['  <graph edgedefault="undirected">']
@@ -84,11 +89,13 @@ def scene(source: str, nodes: Iterable[Row]) -> str:
     return json.dumps({"metadata": {"version": "1"}, "root": root}, indent=2)
 
 
-def analysis_text(n_nodes: int, n_edges: int, components: Sequence[Row], hubs: Sequence[Row], cuts: Sequence[str]) -> str:
+def analysis_text(n_nodes: int, n_edges: int, components: Sequence[Row], hubs: Sequence[Row], cuts: Sequence[str], n_components: int | None = None) -> str:
     """Sizes, the largest components, the hubs and the cut residues."""
     lines = [f"{n_nodes} residues, {n_edges} edges", "", "components"]
-    lines += [f"  {r['component']}  {r['size']}" for r in components]
-    lines += ["", "hubs"] + [f"  {r['id']}  {r['betweenness']:.2f}  degree {r['degree']}" for r in hubs]
+    lines += [f"  {r['component']}  {r['size']}" for r in components[:TOP]]
+    if (more := (len(components) if n_components is None else n_components) - TOP) > 0:
+        lines.append(f"  and {more} more")
+    lines += ["", "hubs"] + [f"  {r['id']}  {r['betweenness']:.2f}  degree {r['degree']}" for r in hubs[:TOP]]
     return "\n".join([*lines, "", "cut residues", "  " + (", ".join(cuts) or "none"), ""])
 
 
@@ -98,6 +105,14 @@ def path_text(route: Sequence[str], start: str, goal: str) -> str:
     return f"{len(route) - 1} steps\n" + " - ".join(route) + "\n"
 
 
+def entries_markdown(entries: Sequence[Row]) -> str:
+    """A row for each structure that was compared."""
+    number = lambda v, form: "pending" if v is None else format(v, form)
+    head = "| entry | residues | Q3 | H-bond F1 | SASA MAE | SASA residues |"
+    rows = [f"| {r['sid']} | {r['n_residues'] or 0} | {number(r['q3'], '.1%')} | {number(r['hbond_f1'], '.2f')} | {number(r['mae'], '.2f')} | {r['n_surface'] or '-'} |" for r in entries]
+    return "\n".join([head, "|" + " --- |" * 6, *rows, ""])
+
+
 def validation_markdown(summary: Sequence[Row]) -> str:
     head = "| kind | precision | recall | F1 | micro F1 | predicted | reference | entries | vacuous |"
     rows = [f"| {r['kind']} | {r['macro_precision']:.2f} | {r['macro_recall']:.2f} | {r['macro_f1']:.2f} | {r['micro_f1']:.2f} | {r['n_predicted']} | {r['n_reference']} | {r['n_entries']} | {r['n_vacuous']} |" for r in summary]
