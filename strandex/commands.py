@@ -54,7 +54,7 @@ def contacts(structures: dict[str, DataFrame], kinds: Sequence[str] = C.KINDS, s
     """The contacts of all structures, with what their component dictionaries say, narrowed to a selection."""
     atoms = structures["atoms"]
     own = components.perceive(structures["comp_atoms"], structures["comp_bonds"]) if "comp_atoms" in structures else None
-    found = interactions.dedup_conformers(interactions.detect(atoms, kinds=tuple(kinds), components=own), atoms)
+    found = interactions.dedup_conformers(mmcif.kept(interactions.detect(atoms, kinds=tuple(kinds), components=own)), atoms)
     return found if select is None else interactions.touching(found, selection.select_some(select, atoms))
 
 
@@ -83,8 +83,8 @@ def analyse(edges: DataFrame, nodes: DataFrame) -> dict[str, str]:
 def network_report(spark: SparkSession, argument: str, kinds: Sequence[str] = C.KINDS, select: str | None = None, cache: str = "structures") -> tuple[DataFrame, DataFrame]:
     """Edges and nodes."""
     structures = mmcif.read_structures(spark, resolve(spark, argument, cache))
-    edges = network.edges(contacts(structures, kinds, select), structures["atoms"]).persist()
-    return edges, network.nodes(edges, structures["atoms"])
+    edges = mmcif.kept(network.edges(contacts(structures, kinds, select), structures["atoms"]))
+    return edges, mmcif.kept(network.nodes(edges, structures["atoms"]))
 
 
 def validate(spark: SparkSession, manifest: str, folder: str, references: str, limits: dict[str, float] | None = None) -> tuple[str, list[str]]:
@@ -101,13 +101,13 @@ def validate(spark: SparkSession, manifest: str, folder: str, references: str, l
     known = {"ss": golden.secondary_structure(spark, dssp) if dssp else None, "bonds": golden.backbone_bonds(spark, dssp) if dssp else None, "surface": golden.surface(spark, area) if area else None, "contacts": edges, "scope": scope}
     here = structures["atoms"].select("sid").distinct()
     known = {k: df.join(here, "sid", "left_semi") if df is not None else None for k, df in known.items()}
-    entries, agreement = validation.compare(validation.predict(structures), known)
-    entries = entries.persist()
+    predicted = {k: mmcif.kept(df) for k, df in validation.predict(structures).items()}
+    entries, agreement = validation.compare(predicted, known)
+    entries = mmcif.kept(entries)
     means = entries.agg(F.avg("q3").alias("q3"), F.avg("hbond_f1").alias("hbond_f1"), F.avg("mae").alias("sasa_mae")).first().asDict()
     kinds = validation.summary(agreement).orderBy("kind").collect() if agreement is not None else []
     means["plip_f1"] = sum(r.macro_f1 for r in kinds) / len(kinds) if kinds else None
     text = reports.entries_markdown(entries.orderBy("sid").collect()) + "\n" + (reports.validation_markdown(kinds) if kinds else "")
-    entries.unpersist()
     return text, validation.gate(means, limits or {})
 
 

@@ -90,31 +90,39 @@ def component_labels(near: list[list[int]]) -> list[int]:
     return label
 
 
-def brandes(near: list[list[int]]) -> np.ndarray:
-    """Betweenness of an unweighted, undirected graph: every pair once, not normalised."""
+def brandes(near: list[list[int]], block: int = 64) -> np.ndarray:
+    """Betweenness of an unweighted, undirected graph: every pair once, not normalised; a block of sources at once, level by level."""
     n = len(near)
-    total = np.zeros(n)
-    for s in range(n):
-        order, paths, depth = [], np.zeros(n), [-1] * n
-        before: list[list[int]] = [[] for _ in range(n)]
-        paths[s], depth[s] = 1, 0
-        todo = deque([s])
-        while todo:
-            u = todo.popleft()
-            order.append(u)
-            for v in near[u]:
-                if depth[v] < 0:
-                    depth[v] = depth[u] + 1
-                    todo.append(v)
-                if depth[v] == depth[u] + 1:
-                    paths[v] += paths[u]
-                    before[v].append(u)
-        share = np.zeros(n)
-        for v in reversed(order):
-            for u in before[v]:
-                share[u] += paths[u] / paths[v] * (1 + share[v])
-            if v != s:
-                total[v] += share[v]
+    total, size = np.zeros(n), np.array([len(x) for x in near], np.int64)
+    linked = np.flatnonzero(size)
+    starts, flat = (np.cumsum(size) - size)[linked], np.array([v for x in near for v in x], np.int64)
+
+    def gathered(values: np.ndarray) -> np.ndarray:
+        """The sum over each node's neighbours."""
+        out = np.zeros_like(values)
+        if len(linked):
+            out[linked] = np.add.reduceat(values[flat], starts, axis=0)
+        return out
+
+    for lo in range(0, n, block):
+        source = np.arange(lo, min(n, lo + block))
+        at = (source, np.arange(len(source)))
+        depth, paths = np.full((n, len(source)), -1), np.zeros((n, len(source)))
+        depth[at], paths[at], level = 0, 1, 0
+        while True:
+            new = gathered(np.where(depth == level, paths, 0))
+            reached = (new > 0) & (depth < 0)
+            if not reached.any():
+                break
+            level += 1
+            depth[reached], paths[reached] = level, new[reached]
+        share = np.zeros_like(paths)
+        for d in range(level, 0, -1):
+            here = depth == d
+            back = gathered(np.divide(1 + share, paths, out=np.zeros_like(paths), where=here))
+            share += np.where(depth == d - 1, paths * back, 0)
+        share[at] = 0
+        total += share.sum(1)
     return total / 2
 
 
@@ -180,9 +188,9 @@ def layout(near: list[list[int]], steps: int = 300) -> np.ndarray:
     for _ in range(steps):
         move = np.zeros_like(p)
         for lo in range(0, n, 512):  # blocks of rows: memory stays bounded
-            d = p[lo : lo + 512, None] - p[None]
-            r = np.maximum(np.sqrt((d * d).sum(-1)), 1e-4)
-            move[lo : lo + 512] = (d / r[..., None] * (k * k / r)[..., None]).sum(1)
+            x, y = (p[lo : lo + 512, None, c] - p[None, :, c] for c in (0, 1))
+            push = k * k / np.maximum(x * x + y * y, 1e-8)
+            move[lo : lo + 512, 0], move[lo : lo + 512, 1] = (x * push).sum(1), (y * push).sum(1)
         d = p[a] - p[b]
         r = np.maximum(np.sqrt((d * d).sum(-1)), 1e-4)[:, None]
         np.add.at(move, a, -d * r / k)
@@ -202,7 +210,9 @@ def _frame(sid, **columns) -> pd.DataFrame:
 
 def _per_structure(edges_: DataFrame, kernel, schema: str) -> DataFrame:
     kind = edges_.schema["sid"].dataType.simpleString()
-    return edges_.select("sid", "source", "target").groupBy("sid").applyInPandas(lambda pdf: kernel(pdf["sid"].iloc[0], *_graph(pdf)), f"sid {kind}, {schema}")
+    n = int(edges_.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = edges_.select("sid", "source", "target").repartition(n, "sid")  # few rows, much work: not to be put together again
+    return spread.groupBy("sid").applyInPandas(lambda pdf: kernel(pdf["sid"].iloc[0], *_graph(pdf)), f"sid {kind}, {schema}")
 
 
 def components(edges_: DataFrame) -> DataFrame:

@@ -9,7 +9,8 @@ many atoms fit around one.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +19,10 @@ from strandex.functions import scalars
 from strandex.operators import residues, roles, spatial
 
 
+#: Neighbours whose points are counted together.
+PAIRS = 20_000
+
+
 def sphere(n: int = C.POINTS) -> np.ndarray:
     """n points spread evenly over the unit sphere, along a golden spiral."""
     i = np.arange(n) + 0.5
@@ -35,18 +40,26 @@ def atom_areas(atoms: DataFrame, scale: float = 1.0, probe: float = C.PROBE, poi
     ball = sphere(points)
 
     def area(batches):
-        for pdf in batches:
-            out = np.empty(len(pdf))
-            for i, (r, n) in enumerate(zip(pdf["r"], pdf["near"], strict=True)):
-                free = 1.0
-                if n is not None and len(n):
-                    m = np.stack(n)
-                    d = ball[:, None] * r - m[None, :, :3]
-                    free = 1 - ((d * d).sum(-1) < m[:, 3] ** 2).any(1).mean()
-                out[i] = 4 * np.pi * r * r * free
-            yield pd.DataFrame({"sid": pdf["sid"], "atom_idx": pdf["atom_idx"], "area": out})
-
-    return a.select("sid", "atom_idx", "r").join(near, ["sid", "atom_idx"], "left").mapInPandas(area, f"sid {kind}, atom_idx int, area double")
+        for batch in batches:
+            r, lists = batch.column(2).to_numpy(zero_copy_only=False), batch.column(3)
+            size = np.nan_to_num(pc.list_value_length(lists).to_numpy(zero_copy_only=False)).astype(np.int64)
+            near = lists.flatten().flatten().to_numpy(zero_copy_only=False).reshape(-1, 4)
+            ends = np.cumsum(size)
+            free, lo = np.ones(len(r)), 0
+            while lo < len(r):  # about PAIRS neighbours at once
+                done = ends[lo] - size[lo]
+                hi = max(lo + 1, int(np.searchsorted(ends, done + PAIRS, "right")))
+                some, m = np.arange(lo, hi)[size[lo:hi] > 0], near[done : ends[hi - 1]]
+                if len(some):
+                    own = np.repeat(r[some], size[some])
+                    # |r b - m| < R, with the squares written out
+                    covered = (own * own + (m[:, :3] ** 2).sum(1) - m[:, 3] ** 2)[:, None] < 2 * own[:, None] * (m[:, :3] @ ball.T)
+                    hidden = np.logical_or.reduceat(covered, (ends - size)[some] - done, axis=0)
+                    free[some] = 1 - hidden.mean(1)
+                lo = hi
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(4 * np.pi * r * r * free)], names=["sid", "atom_idx", "area"])
+
+    return a.select("sid", "atom_idx", "r").join(near, ["sid", "atom_idx"], "left").select("sid", F.col("atom_idx").cast("int").alias("atom_idx"), F.col("r").cast("double").alias("r"), "near").mapInArrow(area, f"sid {kind}, atom_idx int, area double")
 
 
 def residue_areas(atoms: DataFrame, scale: float = 1.0, selected: DataFrame | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ are never looked at, so files with conflicting ones load as they are.
 from __future__ import annotations
 
 import re
+import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
@@ -136,11 +137,23 @@ def read_atoms(df: DataFrame, policy: str = "all") -> DataFrame:
     return residues.altloc(raw.withColumn("element", scalars.infer_element(F.col("element"), F.col("name"))), policy)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """The frame checkpointed in the shared folder, so what is built on it neither parses files again nor plans that again."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        base = context.getConf().get("spark.checkpoint.dir")
+        if not base:  # local mode alone has a temporary folder
+            base = tempfile.mkdtemp(prefix="strandex-") if context.master.startswith("local") else f"{df.sparkSession.conf.get('spark.sql.warehouse.dir').rstrip('/')}/strandex-shared"
+        context.setCheckpointDir(base)
+    return df.checkpoint()
+
+
 def read_structures(spark: SparkSession, path: str, policy: str = "occupancy") -> dict[str, DataFrame]:
-    """Atoms with secondary structure, backbone bonds, components and assemblies of every file."""
+    """Atoms with secondary structure, backbone bonds, components and assemblies of every file, each kept in the shared folder."""
     source = files(spark, path)
-    atoms, bonds = dssp.assign(read_atoms(source, policy))
-    return {"atoms": atoms, "bonds": bonds, **read_components(source), "assemblies": read_assemblies(source)}
+    atoms, bonds = dssp.assign(kept(read_atoms(source, policy)))
+    components = {k: kept(df) for k, df in read_components(source).items()}
+    return {"atoms": kept(atoms), "bonds": kept(bonds), **components, "assemblies": read_assemblies(source)}
 
 
 def backbone_only(atoms: DataFrame) -> DataFrame:

@@ -6,6 +6,11 @@ from strandex import queries
 from strandex.operators import network
 
 
+class Atoms:
+    def persist(self):
+        return self
+
+
 def test_layout_query_runs_the_default_steps(monkeypatch):
     steps, whole = [], inspect.signature(network.layouts)
 
@@ -15,7 +20,8 @@ def test_layout_query_runs_the_default_steps(monkeypatch):
         steps.append(list(bound.arguments.values())[1])
 
     monkeypatch.setattr(network, "layouts", record)
-    monkeypatch.setattr(queries, "_edges", lambda a: a)
-    monkeypatch.setattr(queries.pseudo, "atoms", lambda spark, sf_dir: None)
+    monkeypatch.setattr(network, "edges", lambda found, a: a)
+    monkeypatch.setattr(queries.interactions, "detect", lambda a, *rest: a)
+    monkeypatch.setattr(queries.pseudo, "atoms", lambda spark, sf_dir: Atoms())
     queries.QUERIES["rin_layout"](None, "")
     assert steps == [300]
