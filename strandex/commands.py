@@ -98,7 +98,7 @@ def validate(spark: SparkSession, manifest: str, folder: str, references: str, l
     path = lambda kind: p if _exists(spark, p := f"{references.rstrip('/')}/*.{kind}.json") else None
     dssp, area, plip = path("dssp"), path("freesasa"), path("plip")
     edges, scope = golden.contacts(spark, plip) if plip else (None, None)
-    known = {"ss": golden.secondary_structure(spark, dssp) if dssp else None, "bonds": golden.backbone_bonds(spark, dssp) if dssp else None, "surface": golden.surface(spark, area) if area else None, "contacts": edges, "scope": scope}
+    known = {"ss": golden.secondary_structure(spark, dssp) if dssp else None, "bonds": golden.backbone_bonds(spark, dssp) if dssp else None, "bond_scope": golden.bond_scope(spark, dssp) if dssp else None, "surface": golden.surface(spark, area) if area else None, "contacts": edges, "scope": scope}
     here = structures["atoms"].select("sid").distinct()
     known = {k: df.join(here, "sid", "left_semi") if df is not None else None for k, df in known.items()}
     predicted = {k: mmcif.kept(df) for k, df in validation.predict(structures).items()}

@@ -179,6 +179,7 @@ def perceive(comp_atoms: DataFrame, comp_bonds: DataFrame) -> dict[str, DataFram
         return pd.DataFrame(rows, columns=names).astype(object).where(lambda d: d.notna(), None)
 
     keys = ["sid", "comp_id"]
+    comp_bonds = comp_bonds.select(*(F.col(c).alias(c) for c in comp_bonds.columns))  # both may come from one table of rows
     found = comp_atoms.groupBy(*keys).cogroup(comp_bonds.groupBy(*keys)).applyInPandas(run, _PERCEIVED.format(kind))
     of = lambda what: found.where(F.col("what") == what)
     return {

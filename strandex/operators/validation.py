@@ -97,16 +97,15 @@ def predict(structures: dict[str, DataFrame], scale: float = 1.0) -> dict[str, D
 def compare(predicted: dict[str, DataFrame], references: dict[str, DataFrame | None]) -> tuple[DataFrame, DataFrame | None]:
     """A row for each structure with a reference (q3, hbond_f1, mae and how many residues), and the agreement of contacts.
 
-    ``references``: ss, bonds, surface, contacts and scope; those that are
-    missing are left out.
+    ``references``: ss, bonds and bond_scope, surface, contacts and scope; those
+    that are missing are left out.
     """
     parts = []
     if references.get("ss") is not None:
         parts.append(compare_structure(predicted["ss"], references["ss"]))
     if references.get("bonds") is not None:
-        bonds = references["bonds"]
-        own = predicted["bonds"].join(bonds.select("sid").distinct(), "sid", "left_semi")
-        parts.append(set_agreement(own, bonds).select("sid", F.col("f1").alias("hbond_f1")))
+        agreement = compare_contacts(predicted["bonds"], references["bonds"], references["bond_scope"], predicted["ligands"])
+        parts.append(agreement.select("sid", F.col("f1").alias("hbond_f1")))
     if references.get("surface") is not None:
         parts.append(compare_surface(predicted["surface"], references["surface"]).withColumnRenamed("n_residues", "n_surface"))
     entries = None

@@ -38,6 +38,11 @@ def backbone_bonds(spark: SparkSession, path: str) -> DataFrame:
     return _edges(rows, F.lit("backbone"), "h.donor", "h.acceptor")
 
 
+def bond_scope(spark: SparkSession, path: str) -> DataFrame:
+    """The files that score backbone bonds, also those without any: sid, kinds, ligand_scoped."""
+    return _read(spark, path, f"hbonds array<struct<donor:{_KEY},acceptor:{_KEY}>>").where("hbonds is not null").select("sid", F.array(F.lit("backbone")).alias("kinds"), F.lit(False).alias("ligand_scoped"))
+
+
 def contacts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Edges (sid, kind, source, target), and what each file scores: sid, kinds, ligand_scoped."""
     files = _read(spark, path, f"kinds array<string>, ligand_scoped boolean, interactions array<struct<kind:string,a:{_KEY},b:{_KEY}>>")
