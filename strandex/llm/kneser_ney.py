@@ -10,8 +10,8 @@ are cut by the top bits of the hash, so the files together are one sorted array.
 Scoring maps all files into memory and looks words up by binary search in
 sorted blocks; nothing of the model is in the workers' own memory.
 
-Words are hashed to 64 bits (pairs to 48 bits of each side before mixing): of
-some million words, equal hashes are not to be expected.
+Words and pairs are known by 64-bit hashes: of a thousand million words, the
+chance that any two are equal is 3%.
 
 A null or empty text is one end token.  Repeated rows count as often as they
 occur.  Without training texts every token is unknown: both scores then follow
@@ -31,10 +31,10 @@ from strandex.llm import common
 
 #: Tokens a task reduces at once; bytes of text scored at once.
 BLOCK_TOKENS, BLOCK_BYTES = 1_500_000, 4 << 20
+#: Shards of a shuffle partition: a task has one of them in memory at a time.
+PARTITION_SHARDS = 4
 #: The context before the first word and the token after the last one.
 BEGIN, END = np.uint64(0x0123456789ABCDEF), np.uint64(0xFEDCBA9876543210)
-_LOW = np.uint64((1 << 48) - 1)
-_SHIFT = np.uint64(16)
 
 
 def tokens(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -58,7 +58,7 @@ def contexts(word: np.ndarray, doc: np.ndarray) -> np.ndarray:
 
 def pair_key(context: np.ndarray, word: np.ndarray, shard_bits: int) -> np.ndarray:
     """One number for context and word; its top bits are those of the context."""
-    mixed = common.mix(context ^ common.mix((word & ~np.uint64(0xFFFF)) + np.uint64(0x9E37)))
+    mixed = common.mix(context ^ common.mix(word + np.uint64(0x9E37)))
     if not shard_bits:
         return mixed
     keep = np.uint64(64 - shard_bits)
@@ -69,17 +69,6 @@ def shard_of(h: np.ndarray, shard_bits: int) -> np.ndarray:
     return (h >> np.uint64(64 - shard_bits)).astype(np.int64) if shard_bits else np.zeros(len(h), np.int64)
 
 
-def _pack48(h: np.ndarray) -> bytes:
-    """The upper 48 bits of each hash."""
-    top = h >> _SHIFT
-    return (top & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + (top >> np.uint64(32)).astype("<u2").tobytes()
-
-
-def _unpack48(raw: memoryview, n: int) -> np.ndarray:
-    low, high = np.frombuffer(raw[: 4 * n], "<u4"), np.frombuffer(raw[4 * n : 6 * n], "<u2")
-    return (low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32)) << _SHIFT
-
-
 def _pack_counts(n: np.ndarray) -> bytes:
     """A byte each, and the ones that don't fit apart."""
     big = np.flatnonzero(n >= 255)
@@ -123,6 +112,8 @@ class Model:
     words: int
     pairs: int
     discounts: tuple[tuple[float, float, float], tuple[float, float, float]]
+    #: What the discounts take from the words' share, which goes evenly to all words and one unknown.
+    lower_mass: float
 
 
 def discounts(n: list[int]) -> tuple[float, float, float]:
@@ -140,7 +131,7 @@ def _of_counts(n: np.ndarray) -> list[int]:
 def train(docs: DataFrame, shard_bits: int | None = None) -> Model:
     """Count ``docs`` (doc_id, text) and write the model to a new shared folder."""
     spark = docs.sparkSession
-    bits = shard_bits if shard_bits is not None else common.shards(spark).bit_length() - 1
+    bits = shard_bits if shard_bits is not None else (PARTITION_SHARDS * common.shards(spark)).bit_length() - 1
     folder = common.shared_dir(spark, "kneser-ney")
 
     def count(batches):
@@ -155,7 +146,7 @@ def train(docs: DataFrame, shard_bits: int | None = None) -> Model:
             for a, b in zip(cut, cut[1:], strict=False):
                 starts = np.append(common.run_starts(context[a:b]), b - a)
                 head = np.array([b - a, len(starts) - 1], "<u8").tobytes()
-                blobs.append(head + context[a:b][starts[:-1]].tobytes() + np.diff(starts).astype("<u4").tobytes() + _pack48(word[a:b]) + _pack_counts(n[a:b]))
+                blobs.append(head + context[a:b][starts[:-1]].tobytes() + np.diff(starts).astype("<u4").tobytes() + word[a:b].tobytes() + _pack_counts(n[a:b]))
             return pa.RecordBatch.from_arrays([pa.array(shard[cut[:-1]]), pa.array(blobs, pa.binary())], names=["shard", "blob"])
 
         for batch in batches:
@@ -175,7 +166,7 @@ def train(docs: DataFrame, shard_bits: int | None = None) -> Model:
         n, k = (int(x) for x in np.frombuffer(raw[:16], "<u8"))
         context = np.repeat(np.frombuffer(raw[16 : 16 + 8 * k], np.uint64), np.frombuffer(raw[16 + 8 * k : 16 + 12 * k], "<u4"))
         at = 16 + 12 * k
-        return context, _unpack48(raw[at : at + 6 * n], n), _unpack_counts(raw[at + 6 * n :], n)
+        return context, np.frombuffer(raw[at : at + 8 * n], np.uint64), _unpack_counts(raw[at + 8 * n :], n)
 
     def pairs(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
@@ -190,7 +181,7 @@ def train(docs: DataFrame, shard_bits: int | None = None) -> Model:
         word, n_sum, kinds = _merged([word, n, np.ones(len(n), np.int64)], 1)
         to = shard_of(word, bits)
         cut = np.append(common.run_starts(to), len(to))
-        blobs = [int(b - a).to_bytes(8, "little") + _pack48(word[a:b]) + len(c := _pack_counts(n_sum[a:b])).to_bytes(8, "little") + c + _pack_counts(kinds[a:b]) for a, b in zip(cut, cut[1:], strict=False)]
+        blobs = [int(b - a).to_bytes(8, "little") + word[a:b].tobytes() + len(c := _pack_counts(n_sum[a:b])).to_bytes(8, "little") + c + _pack_counts(kinds[a:b]) for a, b in zip(cut, cut[1:], strict=False)]
         blobs.append(np.array(_of_counts(n), "<u8").tobytes())
         return pa.table({"shard": pa.array(np.append(to[cut[:-1]], -1)), "blob": pa.array(blobs, pa.binary())})
 
@@ -200,8 +191,9 @@ def train(docs: DataFrame, shard_bits: int | None = None) -> Model:
         for x in table.column("blob"):
             raw = memoryview(x.as_buffer())
             n = int.from_bytes(raw[:8], "little")
-            size = int.from_bytes(raw[8 + 6 * n : 16 + 6 * n], "little")
-            got.append((_unpack48(raw[8 : 8 + 6 * n], n), _unpack_counts(raw[16 + 6 * n : 16 + 6 * n + size], n), _unpack_counts(raw[16 + 6 * n + size :], n)))
+            at = 8 + 8 * n
+            size = int.from_bytes(raw[at : at + 8], "little")
+            got.append((np.frombuffer(raw[8:at], np.uint64), _unpack_counts(raw[at + 8 : at + 8 + size], n), _unpack_counts(raw[at + 8 + size :], n)))
         word, n, kinds = _merged([np.concatenate([x[i] for x in got]) for i in range(3)], 1)
         common.put_file(folder, f"words-{shard:06d}", {"key": word, "n": n.astype(np.uint64), "kinds": kinds.astype(np.uint32)})
         return pa.table({"sums": pa.array([[int(n.sum()), len(n), int(kinds.sum()), *_of_counts(kinds)]], pa.list_(pa.int64()))})
@@ -211,25 +203,30 @@ def train(docs: DataFrame, shard_bits: int | None = None) -> Model:
     sums = found.where("shard >= 0").groupBy("shard").applyInArrow(words, "sums array<long>")
     total = np.array([r[0] for r in sums.collect()], np.int64).reshape(-1, 7).sum(axis=0).tolist()  # a row for each shard
     pair_counts = np.frombuffer(b"".join(bytes(r[0]) for r in found.where("shard < 0").select("blob").collect()), "<u8").reshape(-1, 4).sum(axis=0).tolist()
-    return Model(folder, bits, total[0], total[1], total[2], (discounts(total[3:]), discounts(pair_counts)))
+    lower = discounts(total[3:])
+    taken = lower[0] * total[3] + lower[1] * total[4] + lower[2] * (total[1] - total[3] - total[4])
+    return Model(folder, bits, total[0], total[1], total[2], (lower, discounts(pair_counts)), taken / total[2] if total[2] else 1.0)
 
 
 class Tables:
-    """The memory-mapped arrays of a model."""
+    """The arrays of a model; a file is memory-mapped when a key of its shard is first looked up."""
 
     def __init__(self, model: Model):
-        self.bits = model.shard_bits
-        self.files: dict[str, list] = {k: [None] * (1 << self.bits) for k in ("pairs", "contexts", "words")}
-        for name in common.list_files(model.folder):
-            kind, _, shard = name.partition("-")
-            self.files[kind][int(shard)] = common.map_file(model.folder, name)
+        self.folder, self.bits = model.folder, model.shard_bits
+        self.names = set(common.list_files(model.folder))
+        self.files: dict[str, dict[str, np.ndarray]] = {}
+
+    def file(self, name: str) -> dict[str, np.ndarray] | None:
+        if name in self.names and name not in self.files:
+            self.files[name] = common.map_file(self.folder, name)
+        return self.files.get(name)
 
     def look(self, kind: str, keys: np.ndarray, columns: tuple[str, ...]) -> list[np.ndarray]:
         """The columns at sorted keys; 0 for those that aren't there."""
         out = [np.zeros(len(keys), np.float64) for _ in columns]
         cut = np.searchsorted(shard_of(keys, self.bits), np.arange((1 << self.bits) + 1))
         for shard, (a, b) in enumerate(zip(cut, cut[1:], strict=False)):
-            if a == b or (file := self.files[kind][shard]) is None:
+            if a == b or (file := self.file(f"{kind}-{shard:06d}")) is None:
                 continue
             at = np.minimum(np.searchsorted(file["key"], keys[a:b]), len(file["key"]) - 1)
             hit = file["key"][at] == keys[a:b]
@@ -241,13 +238,12 @@ class Tables:
 def probabilities(model: Model, tables: Tables, word: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """P(token | token before) and the training count of each token."""
     context = contexts(word, doc)
-    kinds, w = np.unique(word & ~np.uint64(0xFFFF), return_inverse=True)
+    kinds, w = np.unique(word, return_inverse=True)
     n, spread = tables.look("words", kinds, ("n", "kinds"))
     (d1, d2, d3), (e1, e2, e3) = model.discounts
     total = max(1, model.pairs)
     lower = np.maximum(spread - np.select([spread == 1, spread == 2, spread >= 3], [d1, d2, d3], 0), 0) / total
-    # what the discounts took from the words is spread evenly over all words and one unknown
-    lower = lower + _lower_mass(model, tables) / (model.words + 1)
+    lower = lower + model.lower_mass / (model.words + 1)
     before, c = np.unique(context, return_inverse=True)
     of, n1, n2, n3 = tables.look("contexts", before, ("sum", "n1", "n2", "n3"))
     weight = np.where(of > 0, (e1 * n1 + e2 * n2 + e3 * n3) / np.maximum(of, 1), 1.0)
@@ -257,17 +253,6 @@ def probabilities(model: Model, tables: Tables, word: np.ndarray, doc: np.ndarra
     return high + weight[c] * lower[w], n[w]
 
 
-def _lower_mass(model: Model, tables: Tables) -> float:
-    if not hasattr(tables, "mass"):
-        d, taken = model.discounts[0], 0.0
-        for file in tables.files["words"]:
-            if file is not None:
-                k = np.minimum(file["kinds"], 3)
-                taken += sum(d[i - 1] * int((k == i).sum()) for i in (1, 2, 3))
-        tables.mass = taken / model.pairs if model.pairs else 1.0
-    return tables.mass
-
-
 def tables_of(model: Model) -> Tables:
     return common.held("kneser-ney", model.folder, lambda: Tables(model))
 
