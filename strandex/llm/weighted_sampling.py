@@ -28,6 +28,8 @@ from strandex.llm import common
 SHINGLE, SAMPLES = 5, 16
 #: doc_ids of one block: 2 ** BLOCK_BITS.
 BLOCK_BITS = 10
+#: Blocks, and groups of blocks, that are ordered together: at most 2 ** GROUP_BITS.
+GROUP_BITS = 18
 
 
 def terms(text: str) -> list[tuple[str, str]]:
@@ -67,15 +69,30 @@ def likeness(samples: int, a: str, b: str):
     return sum((F.col(f"{a}{k}").eqNullSafe(F.col(f"{b}{k}")).cast("int") for k in range(samples)), F.lit(0)) / F.lit(float(samples))
 
 
+def hosts(blocks: DataFrame, bits: int = GROUP_BITS) -> DataFrame:
+    """first_id and host of each block (block, first_id): the block before it, the last one for the first.
+
+    Blocks are ordered within groups of 2 ** ``bits`` neighbouring numbers,
+    groups within groups of groups, those among each other: no task orders more
+    than 2 ** ``bits`` rows (of 64 - 10 bits), however sparse the ids are.
+    """
+    near = Window.partitionBy("group").orderBy("block")
+    blocks = blocks.select("first_id", "block", F.shiftright("block", bits).alias("group"))
+    groups = blocks.groupBy("group").agg(F.max("block").alias("last")).select("group", "last", F.shiftright("group", bits).alias("upper"))
+    uppers = groups.groupBy("upper").agg(F.max("last").alias("last"))
+    top = uppers.select("upper", F.coalesce(F.lag("last").over(Window.orderBy("upper")), F.max("last").over(Window.partitionBy())).alias("before_upper"))
+    between = groups.select("group", "upper", F.lag("last").over(Window.partitionBy("upper").orderBy("group")).alias("before_group"))
+    within = blocks.select("first_id", "group", F.lag("block").over(near).alias("before"))
+    return within.join(between, "group").join(top, "upper").select("first_id", F.coalesce("before", "before_group", "before_upper").alias("host"))
+
+
 def with_successor(docs: DataFrame) -> DataFrame:
     """block, place, guest, doc_id, text, next_text: documents in ascending order in their blocks, with the next document's text.
 
     A guest is the first row of the next block, there for its predecessor only.
     """
     ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"))
-    blocks = ids.groupBy(F.shiftright("id", BLOCK_BITS).alias("block")).agg(F.min("id").alias("first_id"))
-    order, everything = Window.orderBy("block"), Window.partitionBy()
-    guests = blocks.select("first_id", F.coalesce(F.lag("block").over(order), F.max("block").over(everything)).alias("host"))
+    guests = hosts(ids.groupBy(F.shiftright("id", BLOCK_BITS).alias("block")).agg(F.min("id").alias("first_id")))
     rows = common.texts(docs).withColumn("id", F.coalesce("doc_id", F.lit(-(2**63))))
     rows = rows.join(guests, rows["id"] == guests["first_id"], "left")
     placed = rows.select("id", "doc_id", "text", F.explode(F.expr("filter(array(named_struct('block', shiftright(id, %d), 'guest', false), named_struct('block', host, 'guest', true)), x -> x.block is not null)" % BLOCK_BITS)).alias("at"))

@@ -149,6 +149,17 @@ def test_fingerprints_odd(odd, none, make):
     assert one.near_next == 1.0
 
 
+@pytest.mark.parametrize("bits", [18, 2])
+def test_hosts(spark, bits):
+    """Each block's guest goes to the block before it, however far apart, the first one's to the last."""
+    r = random.Random(2)
+    blocks = sorted({r.randint(-(2**53), 2**53 - 1) >> r.choice([0, 20, 40, 50]) for _ in range(300)} | {0, 1, 2, -1})
+    df = spark.createDataFrame([(b, b * 3) for b in blocks], "block long, first_id long")
+    got = {x.first_id: x.host for x in weighted_sampling.hosts(df, bits).collect()}
+    assert got == {b * 3: blocks[i - 1] for i, b in enumerate(blocks)}
+    assert weighted_sampling.hosts(df.where("false"), bits).count() == 0
+
+
 def brute_repeats(docs, n):
     seen = Counter(x[p : p + n] for _, x in docs for p in range(len(x) - n + 1))
     out = defaultdict(set)
