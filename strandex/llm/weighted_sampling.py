@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from strandex.llm import common
 
-SHINGLE, SAMPLES = 5, 16
+SHINGLE, SAMPLES = 5, 24
 #: doc_ids of one block: 2 ** BLOCK_BITS.
 BLOCK_BITS = 10
 #: Blocks, and groups of blocks, that are ordered together: at most 2 ** GROUP_BITS.
