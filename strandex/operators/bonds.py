@@ -2,54 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandex import constants as C
-from strandex.functions import scalars
-from strandex.operators import residues, roles, spatial
+from strandex.operators import kernels, residues
 
 
-def topology(df: DataFrame) -> DataFrame:
-    """resn, a, b of the standard residues' heavy-atom bonds, both ways: a fixed table."""
-    rows = [r for resn, a, b in C.side_chain_bonds() for r in ((resn, a, b), (resn, b, a))]
-    return df.sparkSession.createDataFrame(rows, "resn string, a string, b string")
-
-
-def within_residues(atoms: DataFrame, comp_bonds: DataFrame | None = None) -> DataFrame:
-    """Bonds named by the residue's definition, between atoms of one run; later rows win a repeated name."""
+def of_components(atoms: DataFrame, comp_bonds: DataFrame) -> DataFrame:
+    """Bonds named by the definitions of other components, between atoms of one run; later rows win a repeated name."""
     runs = residues.runs(atoms)
     named = runs.groupBy("sid", "run", "name").agg(F.max("atom_idx").alias("atom_idx"))
-    table = topology(atoms)
-    pairs = runs.select("sid", "run", "resn", F.col("name").alias("a"), F.col("atom_idx").alias("a_idx")).join(F.broadcast(table), ["resn", "a"])  # some 400 fixed rows
-    if comp_bonds is not None:
-        both = comp_bonds.select("sid", F.col("comp_id").alias("resn"), "a", "b").union(comp_bonds.select("sid", "comp_id", F.col("b"), F.col("a"))).where(~F.col("resn").isin(*C.AMINO))
-        pairs = pairs.select("sid", "run", "a_idx", "b").union(runs.select("sid", "run", "resn", F.col("name").alias("a"), F.col("atom_idx").alias("a_idx")).join(both, ["sid", "resn", "a"]).select("sid", "run", "a_idx", "b"))
+    both = comp_bonds.select("sid", F.col("comp_id").alias("resn"), "a", "b").union(comp_bonds.select("sid", "comp_id", F.col("b"), F.col("a"))).where(~F.col("resn").isin(*C.AMINO))
+    pairs = runs.select("sid", "run", "resn", F.col("name").alias("a"), F.col("atom_idx").alias("a_idx")).join(both, ["sid", "resn", "a"])
     return pairs.select("sid", "run", "a_idx", "b").join(named.select("sid", "run", F.col("name").alias("b"), F.col("atom_idx").alias("b_idx")), ["sid", "run", "b"]).where("a_idx < b_idx").select("sid", "a_idx", "b_idx").distinct()
 
 
-def peptide(atoms: DataFrame, scale: float = 1.0) -> DataFrame:
-    """N of a run with the C of the last earlier run that has one, in the chain, close enough."""
-    runs = residues.runs(atoms)
-    pick = lambda name: F.max_by(F.struct("atom_idx", "chain", "x", "y", "z"), F.when(F.col("name") == name, F.col("atom_idx")))
-    table = runs.groupBy("sid", "run").agg(pick("N").alias("n"), pick("C").alias("c"))
-    before = F.last("c", ignorenulls=True).over(Window.partitionBy("sid").orderBy("run").rowsBetween(Window.unboundedPreceding, -1))
-    d2 = sum(((F.col(f"p.{k}") - F.col(f"n.{k}")) * (F.col(f"p.{k}") - F.col(f"n.{k}")) for k in "yz"), (F.col("p.x") - F.col("n.x")) * (F.col("p.x") - F.col("n.x")))
-    return table.withColumn("p", before).where((F.col("p.chain") == F.col("n.chain")) & (d2 <= (C.PEPTIDE * scale) ** 2)).select("sid", F.least("p.atom_idx", "n.atom_idx").alias("a_idx"), F.greatest("p.atom_idx", "n.atom_idx").alias("b_idx"))
-
-
-def contacts(atoms: DataFrame, scale: float = 1.0) -> DataFrame:
-    """Bonds between residues by distance: closer than the covalent radii and a slack; neither water nor metal."""
-    a = atoms.where(~roles.water() & ~roles.metal()).withColumn("radius", scalars.covalent_radius(F.col("element"))).where("radius is not null").select("sid", "atom_idx", *residues.KEY, "radius", "x", "y", "z")
-    pairs = spatial.radius_join(a, a, C.COVALENT_REACH, scale, where=F.col("a_atom_idx") < F.col("b_atom_idx"))
-    limit = (F.col("a_radius") + F.col("b_radius") + C.COVALENT_SLACK) * scale
-    return pairs.where(~residues.same_residue("a_", "b_") & (F.col("d2") < limit * limit)).select(F.col("a_sid").alias("sid"), F.col("a_atom_idx").alias("a_idx"), F.col("b_atom_idx").alias("b_idx"))
-
-
 def graph(atoms: DataFrame, scale: float = 1.0, comp_bonds: DataFrame | None = None) -> DataFrame:
     """sid, a_idx, b_idx of every bond, both ways, each once."""
-    one = within_residues(atoms, comp_bonds).union(peptide(atoms, scale)).union(contacts(atoms, scale))
-    return one.union(one.select("sid", F.col("b_idx"), F.col("a_idx"))).where("a_idx <> b_idx").distinct()
+    def kernel(s):
+        a, b = s.bonds.T
+        return {"a_idx": s.idx[a], "b_idx": s.idx[b]}
+
+    found = kernels.per_structure(atoms, kernel, "a_idx int, b_idx int", scale)
+    if comp_bonds is None:
+        return found
+    one = of_components(atoms, comp_bonds)
+    return found.union(one).union(one.select("sid", F.col("b_idx"), F.col("a_idx"))).distinct()
 
 
 def neighbours(atoms: DataFrame, graph_: DataFrame) -> DataFrame:
