@@ -9,13 +9,16 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandex import constants as C
 from strandex.functions import geometry as G
 from strandex.functions import scalars
-from strandex.operators import bonds, residues, roles, spatial
+from strandex.operators import bonds, kernels, residues, roles, spatial
 
 COLUMNS = ("sid", "kind", "atoms_a", "atoms_b", "distance", "angle", "bridge")
 
@@ -190,17 +193,20 @@ def water_bridges(atoms: DataFrame, donors: DataFrame, acceptors: DataFrame, sca
     return _out(pairs.withColumn("d2", F.greatest("d2_a", "d2_b")), "water-bridge", angle=F.col("omega"), bridge=F.col("w"), scale=scale)
 
 
-def detect(atoms: DataFrame, scale: float = 1.0, kinds: tuple[str, ...] = C.KINDS, components: dict[str, DataFrame] | None = None) -> DataFrame:
+def detect(atoms: DataFrame, scale: float = 1.0, kinds: tuple[str, ...] = C.KINDS, components: dict[str, DataFrame] | None = None, halogens: tuple[str, ...] = C.HALOGENS) -> DataFrame:
     """The union of the kinds asked for; kinds left out cost nothing.
 
     ``components``: bonds, roles, sites, rings and hydrogens of the non-standard
-    components, from operators.components.
+    components, from operators.components.  Without them a kernel finds all
+    kinds of a structure at once, and no atom is shuffled for any of them.
     """
+    if components is None:
+        return kernels.per_structure(atoms, lambda s: kernels.contacts(s, kinds, halogens), "kind string, atoms_a array<int>, atoms_b array<int>, distance double, angle double, bridge int", scale)
     from strandex.operators import hydrogens
 
     from functools import cache
 
-    own = components or {}
+    own = components
     shared = lambda make: cache(lambda: make().persist())  # noqa: E731  several kinds read each of these; lost blocks are made again
     graph = shared(lambda: bonds.graph(atoms, scale, own.get("bonds")))
     groups = shared(lambda: charged_groups(atoms, scale, own.get("sites"), graph() if "sites" in own else None))
@@ -209,7 +215,7 @@ def detect(atoms: DataFrame, scale: float = 1.0, kinds: tuple[str, ...] = C.KIND
     accept = shared(lambda: roles.acceptors(atoms, own.get("roles"), graph() if "roles" in own else None))
     makers = {
         "hydrogen-bond": lambda: hydrogen_bonds(donors(), accept(), scale), "salt-bridge": lambda: salt_bridges(atoms, scale, groups()), "hydrophobic": lambda: hydrophobic(atoms, graph(), scale),
-        "pi-stacking": lambda: pi_stacking(rings_(), scale), "pi-cation": lambda: pi_cation(rings_(), groups(), scale), "halogen-bond": lambda: halogen_bonds(atoms, graph(), scale),
+        "pi-stacking": lambda: pi_stacking(rings_(), scale), "pi-cation": lambda: pi_cation(rings_(), groups(), scale), "halogen-bond": lambda: halogen_bonds(atoms, graph(), scale, halogens),
         "water-bridge": lambda: water_bridges(atoms, donors(), accept(), scale), "metal-coordination": lambda: metal_coordination(atoms, scale), "disulfide": lambda: disulfides(atoms, scale),
     }
     return reduce(DataFrame.unionByName, [makers[k]() for k in C.KINDS if k in kinds])
@@ -218,15 +224,25 @@ def detect(atoms: DataFrame, scale: float = 1.0, kinds: tuple[str, ...] = C.KIND
 def dedup_conformers(found: DataFrame, atoms: DataFrame) -> DataFrame:
     """One of the contacts that name the same atoms (by residue and name) in different conformers: the first by atom_idx."""
     ids = atoms.select("sid", "atom_idx", F.concat_ws("|", "chain", F.col("resi").cast("string"), F.coalesce("icode", F.lit("")), "name").alias("id"))
-    number = found.withColumn("n", F.xxhash64("sid", "kind", "atoms_a", "atoms_b", "bridge"))
 
-    def named(side):
-        rows = number.select("sid", "n", "kind", F.explode(side).alias("atom_idx")).join(ids, ["sid", "atom_idx"])
-        return rows.groupBy("sid", "n").agg(F.sort_array(F.collect_list("id")).alias(f"{side}_id"))
-
-    bridge = ids.select("sid", F.col("atom_idx").alias("bridge"), F.col("id").alias("bridge_id"))
-    both = number.join(named("atoms_a"), ["sid", "n"]).join(named("atoms_b"), ["sid", "n"]).join(bridge, ["sid", "bridge"], "left")
-    return both.groupBy("sid", "kind", "atoms_a_id", "atoms_b_id", "bridge_id").agg(F.min_by(F.struct(*found.columns), F.struct("atoms_a", "atoms_b", "bridge")).alias("r")).select("r.*")
+    def kernel(contacts, table):
+        s = kernels.Structure(table)
+        code = pc.dictionary_encode(s.column("id")).indices.to_numpy()
+        named = dict(zip(s.idx.tolist(), code.tolist(), strict=True))
+        best: dict[tuple, tuple] = {}
+        rows = zip(*(contacts.column(c).to_pylist() for c in ("kind", "atoms_a", "atoms_b", "bridge")), strict=True)
+        for row, (kind, a, b, bridge) in enumerate(rows):
+            a_id, b_id = (tuple(sorted(named[x] for x in side if x in named)) for side in (a, b))
+            if a_id and b_id:
+                key, order = (kind, a_id, b_id, named.get(bridge)), (a, b, -1 if bridge is None else bridge, row)
+                if key not in best or order < best[key]:
+                    best[key] = order
+        kept = contacts.take(pa.array([x[-1] for x in best.values()], pa.int64()))
+        return {c: kept.column(c) for c in kept.column_names if c != "sid"}
+
+    columns = ("sid", *(c for c in found.columns if c != "sid"))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in found.schema.fields if f.name != "sid")
+    return kernels.with_atoms(found.select(*columns), ids, kernel, schema, ("sid", "atom_idx", "id")).select(*found.columns)
 
 
 def touching(found: DataFrame, selected: DataFrame) -> DataFrame:
@@ -238,16 +254,27 @@ def touching(found: DataFrame, selected: DataFrame) -> DataFrame:
 
 def records(found: DataFrame, atoms: DataFrame) -> DataFrame:
     """The thirteen report columns: kind, chain/resi/icode/resn/atoms of both sides, distance (2 places), angle (1 place)."""
-    keyed = found.withColumn("n", F.xxhash64("sid", "kind", "atoms_a", "atoms_b", "bridge"))
-    own = atoms.select("sid", "atom_idx", "chain", "resi", "icode", "resn", "name")
-
-    def side(which, p):
-        rows = keyed.select("sid", "n", F.posexplode(f"atoms_{which}").alias("at", "atom_idx")).join(own, ["sid", "atom_idx"])
-        first = F.min_by(F.struct("chain", "resi", "icode", "resn"), "at")
-        return rows.groupBy("sid", "n").agg(first.alias("f"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "name"))), lambda r: r["name"]), "+").alias(f"{p}atoms")).select("sid", "n", *(F.col(f"f.{c}").alias(f"{p}{c}") for c in ("chain", "resi", "icode", "resn")), f"{p}atoms")
-
-    joined = keyed.join(side("a", "a_"), ["sid", "n"]).join(side("b", "b_"), ["sid", "n"])
-    return joined.select("sid", "kind", *(f"{p}_{c}" for p in "ab" for c in ("chain", "resi", "icode", "resn", "atoms")), F.round("distance", 2).alias("distance"), F.round("angle", 1).alias("angle"), scalars.kind_order(F.col("kind")).alias("kind_ord"))
+    own = ("chain", "resi", "icode", "resn")
+
+    def kernel(contacts, table):
+        s = kernels.Structure(table)
+        out, whole = {}, np.ones(contacts.num_rows, bool)
+        for p in "ab":
+            lists = contacts.column(f"atoms_{p}").combine_chunks()
+            contact, at = pc.list_parent_indices(lists).to_numpy(), s.places(pc.list_flatten(lists).to_numpy())
+            contact, at = contact[at >= 0], at[at >= 0]
+            ends = np.searchsorted(contact, np.arange(len(lists) + 1))
+            whole &= ends[1:] > ends[:-1]
+            first = pa.array(np.append(at, 0)[np.minimum(ends[:-1], len(at))])
+            names = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), s.column("name").take(pa.array(at)))
+            out |= {f"{p}_{c}": s.column(c).take(first) for c in own} | {f"{p}_atoms": pc.binary_join(names, "+")}
+        kept = pa.array(whole)
+        return {"kind": contacts.column("kind").filter(kept), **{c: v.filter(kept) for c, v in out.items()}, **{c: contacts.column(c).filter(kept) for c in ("distance", "angle")}}
+
+    kind = {f.name: f.dataType.simpleString() for f in atoms.schema.fields}
+    sides = ", ".join(f"{p}_{c} {kind.get(c, 'string')}" for p in "ab" for c in (*own, "atoms"))
+    joined = kernels.with_atoms(found.select("sid", "kind", "atoms_a", "atoms_b", "distance", "angle"), atoms, kernel, f"kind string, {sides}, distance double, angle double", ("sid", "atom_idx", *own, "name"))
+    return joined.select("sid", "kind", *(f"{p}_{c}" for p in "ab" for c in (*own, "atoms")), F.round("distance", 2).alias("distance"), F.round("angle", 1).alias("angle"), scalars.kind_order(F.col("kind")).alias("kind_ord"))
 
 
 def ordered(found: DataFrame) -> DataFrame:

@@ -169,6 +169,32 @@ class Structure:
         out[order[1:]] = np.cumsum((self.key[order[1:]] != self.key[order[:-1]]).any(1))
         return out
 
+    def places(self, atom_idx: np.ndarray) -> np.ndarray:
+        """The rows of those atoms, or -1."""
+        at = np.searchsorted(self.idx, atom_idx)
+        return np.where((at < self.n) & (self.idx[np.minimum(at, self.n - 1)] == atom_idx), at, -1)
+
+    @cached_property
+    def rank(self) -> np.ndarray:
+        """The place of each atom's residue in the order of chain, number, insertion code (none first)."""
+        def ordered(c):
+            codes = pc.dictionary_encode(self.column(c))
+            by = np.argsort(np.argsort([x.encode() for x in codes.dictionary.to_pylist()])) if len(codes.dictionary) else np.zeros(0, np.int64)
+            at = pc.fill_null(codes.indices, -1).to_numpy(zero_copy_only=False)
+            return np.append(by, -1)[at].astype(np.int64)  # the last stands for none
+
+        keys = (ordered("chain"), self.key[:, 1], ordered("icode"))
+        order = np.lexsort(keys[::-1])
+        out = np.zeros(self.n, np.int64)
+        out[order[1:]] = np.cumsum(np.any([k[order[1:]] != k[order[:-1]] for k in keys], axis=0))
+        return out
+
+    @cached_property
+    def node(self) -> pa.Array:
+        """The node id of each atom's residue."""
+        number = pc.binary_join_element_wise(self.column("chain"), self.column("resi").cast(pa.string()), "/")
+        return pc.binary_join_element_wise(number, pc.fill_null(self.column("icode"), ""), "")
+
     @cached_property
     def name(self) -> np.ndarray:
         return self.code("name", NAMES).astype(np.int64)
@@ -339,3 +365,299 @@ def rotor_toward(d: np.ndarray, antecedent: np.ndarray, target: np.ndarray) -> n
     other = np.where((np.abs(axis[:, 0]) < 0.9)[:, None], [1.0, 0.0, 0.0], [0.0, 1.0, 0.0])
     off = np.where(np.isnan(off), unit(np.cross(axis, other)), off)
     return d + (axis * along + off * radius) * C.BOND_H
+
+
+def cross(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.column_stack((a[:, 1] * b[:, 2] - a[:, 2] * b[:, 1], a[:, 2] * b[:, 0] - a[:, 0] * b[:, 2], a[:, 0] * b[:, 1] - a[:, 1] * b[:, 0]))
+
+
+# hydrogens -----------------------------------------------------------------
+
+def _neighbours_of_donors() -> np.ndarray:
+    """For each residue and name: class (place in _CLASSES, -1: no donor), hydrogens, first and second neighbour."""
+    bonded: dict[tuple[str, str], list[str]] = {}
+    for r, a, b in C.side_chain_bonds():
+        bonded.setdefault((r, a), []).append(b)
+        bonded.setdefault((r, b), []).append(a)
+    out = np.full((len(RESN), len(NAMES), 4), -1)
+    for (r, n), (kind, count) in C.DONORS.items():
+        first = bonded[r, n][0]
+        second = bonded[r, n][1] if kind == "bisector" else next(x for x in bonded[r, first] if x != n)
+        out[RESN[r], NAME[n]] = _CLASSES.index(kind), count, NAME[first], NAME[second]
+    return out
+
+
+_CLASSES = ("rotor", "planar", "bisector")
+_DONORS = _neighbours_of_donors()
+
+
+def _mate(s: Structure, rows: np.ndarray, name: np.ndarray) -> np.ndarray:
+    """For each row the atom of that name in its run: of its own conformer, else of none, else any; or -1."""
+    at, found = s.mates(rows, name)
+    rank = np.where(s.altloc[found] == s.altloc[rows[at]], 0, np.where(s.altloc[found] < 0, 1, 2))
+    best = first_rows(at, by=(rank, found))
+    out = np.full(len(rows), -1)
+    out[at[best]] = found[best]
+    return out
+
+
+def donors(s: Structure) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of the donors, fixed hydrogens (n x 2 x 3, NaN where there is none), antecedents of rotors (NaN for others), hydrogens."""
+    known = np.flatnonzero((s.resn >= 0) & (s.name >= 0))
+    table = _DONORS[s.resn[known], s.name[known]]
+    side, table = known[table[:, 0] >= 0], table[table[:, 0] >= 0]
+    one, two = _mate(s, side, table[:, 2]), _mate(s, side, table[:, 3])
+    has = one >= 0
+    side, table, one, two = side[has], table[has], one[has], two[has]
+    p, q1 = s.at[side], s.at[one]
+    q2 = np.where((two >= 0)[:, None], s.at[two], np.nan)
+    kind = table[:, 0][:, None]
+    fixed = np.full((len(side), 2, 3), np.nan)
+    half = np.radians(C.SP2 / 2)
+    away = unit(p - q1)
+    aside = cross(unit(cross(p - q1, q2 - q1)), away)
+    middle = p + away * np.cos(half)
+    with np.errstate(invalid="ignore"):
+        fixed[:, 0] = np.where(kind == 1, middle + aside * np.sin(half), p - unit(np.nan_to_num(unit(q1 - p)) + np.nan_to_num(unit(q2 - p))) * C.BOND_H)
+        fixed[:, 1] = np.where(kind == 1, middle - aside * np.sin(half), np.nan)
+    fixed[(kind[:, 0] == 0) | (two < 0)] = np.nan
+    antecedent = np.where(kind == 0, q1, np.nan)
+    # backbone nitrogens: opposite the last carbonyl of the chain, or three on a chain's first residue
+    c, o, ca = s.last_named("C"), s.last_named("O"), s.last_named("CA")
+    n = np.flatnonzero((s.name == NAME["N"]) & (s.resn >= 0) & (s.resn != RESN["PRO"]))
+    before = np.arange(len(c))
+    before = _last_before(np.where(c >= 0, before, -1))[s.run[n]]
+    at = np.maximum(before, 0)
+    inside = (before >= 0) & (s.key[c[at], 0] == s.key[n, 0])
+    d = s.at[c[at]] - s.at[n]
+    held = inside & (np.sqrt(dot(d, d)) <= C.PEPTIDE) & (o[at] >= 0)
+    h = np.full((len(n), 2, 3), np.nan)
+    h[:, 0] = np.where(held[:, None], s.at[n] + unit(s.at[c[at]] - s.at[o[at]]) * C.BOND_H, np.nan)
+    first = np.where((~inside & (ca[s.run[n]] >= 0))[:, None], s.at[ca[s.run[n]]], np.nan)
+    rows = np.concatenate((side, n))
+    fixed, antecedent, count = np.concatenate((fixed, h)), np.concatenate((antecedent, first)), np.concatenate((table[:, 1], np.where(inside, 1, 3)))
+    keep = ~np.isnan(fixed[:, 0, 0]) | ~np.isnan(antecedent[:, 0])
+    return rows[keep], fixed[keep], antecedent[keep], count[keep]
+
+
+def acceptors(s: Structure) -> np.ndarray:
+    return np.flatnonzero((s.resn >= 0) & (s.isin("element", ("O",)) | (s.resn == RESN["HIS"]) & ((s.name == NAME["ND1"]) | (s.name == NAME["NE2"]))))
+
+
+def _hydrogens(s: Structure, found, k: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """The hydrogens (n x 2 x 3) of donors k, a rotor's turned toward the target (then the first stands for all)."""
+    rows, fixed, antecedent, _ = found
+    turned = np.isnan(fixed[k, 0, 0])
+    out = fixed[k]
+    out[turned, 0] = rotor_toward(s.at[rows[k[turned]]], antecedent[k[turned]], target[turned])
+    return out
+
+
+# contacts ------------------------------------------------------------------
+
+def _hydrogen_bonds(s: Structure):
+    found = donors(s)
+    rows, fixed, _, count = found
+    taken = acceptors(s)
+    i, j, d2 = near_all(s.xyz[rows], s.xyz[taken], s.reach(C.HBOND), lambda i, j, d2: (s.residue[rows[i]] != s.residue[taken[j]]) & s.gate(d2, C.LEAST, C.HBOND))
+    target = s.at[taken[j]]
+    h = _hydrogens(s, found, i, target)
+    angles = np.column_stack([angle_at(h[:, k], s.at[rows[i]], target) for k in (0, 1)])
+    turned = np.isnan(fixed[i, 0, 0])
+    candidates: dict[int, list] = {}
+    with np.errstate(invalid="ignore"):
+        good = np.flatnonzero((angles > C.HBOND_ANGLE).any(1))
+    for p in good.tolist():
+        own = range(count[i[p]]) if turned[p] else [k for k in (0, 1) if angles[p, k] > C.HBOND_ANGLE]
+        candidates.setdefault(i[p], []).extend((-angles[p, 0 if turned[p] else k], int(taken[j[p]]), k, p) for k in own)
+    chosen = []
+    for all_ in candidates.values():  # the straightest first: no hydrogen and no acceptor twice
+        spent, used = set(), set()
+        for angle, b, k, p in sorted(all_):
+            if k not in spent and b not in used:
+                spent.add(k)
+                used.add(b)
+                chosen.append((p, -angle))
+    p = np.array([x for x, _ in chosen], np.int64)
+    return _plain(s, rows[i[p]], taken[j[p]], d2[p], angle=np.array([x for _, x in chosen], float))
+
+
+def _water_bridges(s: Structure):
+    found = donors(s)
+    rows, taken = found[0], acceptors(s)
+    water = np.flatnonzero(s.water & s.isin("element", ("O",)))
+    lo, hi = C.WATER_LEGS
+    band = lambda i, j, d2: d2 >= s.square(lo)
+    i, w, first = near_all(s.xyz[rows], s.xyz[water], s.reach(hi), band)
+    target = s.at[water[w]]
+    h = _hydrogens(s, found, i, target)
+    angles = np.column_stack([angle_at(h[:, k], s.at[rows[i]], target) for k in (0, 1)])
+    angles = np.where(np.isnan(angles), -1.0, angles)
+    # the larger angle; of equal ones the larger place
+    later = (angles[:, 1] > angles[:, 0]) | (angles[:, 1] == angles[:, 0]) & (angles[:, 1] >= 0) & np.array([tuple(y) > tuple(x) for x, y in h], bool).reshape(len(h))
+    best, h = np.where(later, angles[:, 1], angles[:, 0]), np.where(later[:, None], h[:, 1], h[:, 0])
+    keep = best > C.WATER_THETA
+    i, w, first, h = i[keep], w[keep], first[keep], h[keep]
+    v, j, second = near_all(s.xyz[water], s.xyz[taken], s.reach(hi), band)
+    lo, size = np.searchsorted(v, w, "left"), np.searchsorted(v, w, "right") - np.searchsorted(v, w, "left")
+    x = np.repeat(np.arange(len(w)), size)
+    y = np.arange(size.sum()) + np.repeat(lo - (np.cumsum(size) - size), size)
+    a, b = rows[i[x]], taken[j[y]]
+    omega = angle_at(s.at[water[w[x]]], s.at[b], h[x])
+    ok = (s.residue[a] != s.residue[b]) & (omega > C.WATER_OMEGA[0]) & (omega < C.WATER_OMEGA[1])
+    return _plain(s, a[ok], b[ok], np.maximum(first[x], second[y])[ok], angle=omega[ok], bridge=s.idx[water[w[x]]][ok])
+
+
+def _charged_groups(s: Structure):
+    """Sign, atoms (rows), centre and first atom of each group."""
+    sign = np.zeros((len(RESN), len(NAMES)), np.int64)
+    for r, (v, names) in C.CHARGED.items():
+        for n in names:
+            sign[RESN[r], NAME[n]] = v
+    known = np.flatnonzero((s.resn >= 0) & (s.name >= 0))
+    value = sign[s.resn[known], s.name[known]]
+    rows, value = known[value != 0], value[value != 0]
+    order = np.lexsort((rows, value, s.run[rows]))
+    rows, value = rows[order], value[order]
+    new = np.ones(len(rows), bool)
+    new[1:] = (value[1:] != value[:-1]) | (s.run[rows[1:]] != s.run[rows[:-1]])
+    starts = np.flatnonzero(new)
+    members = np.split(rows, starts[1:]) if len(rows) else []
+    total = np.add.reduceat(s.xyz[rows], starts, axis=0) if len(rows) else np.zeros((0, 3))
+    return value[starts], members, total / np.array([len(m) for m in members], float)[:, None], rows[starts]
+
+
+def _salt_bridges(s: Structure):
+    sign, members, centre, first = _charged_groups(s)
+    plus, minus = np.flatnonzero(sign > 0), np.flatnonzero(sign < 0)
+    i, j, d2 = near_all(centre[plus], centre[minus], s.reach(C.SALT), lambda i, j, d2: (s.residue[first[plus[i]]] != s.residue[first[minus[j]]]) & s.gate(d2, C.LEAST, C.SALT))
+    return _lists(s, [members[x] for x in plus[i]], [members[x] for x in minus[j]], d2)
+
+
+def _rings(s: Structure):
+    """Members (rows in ring order), run, number, centre and normal of the whole rings with a normal."""
+    head = s.resn[np.searchsorted(s.run, s.run, "left")] if s.n else s.resn  # the residue is what the run's first atom says
+    out = []
+    for r, found in C.RINGS.items():
+        heads = np.flatnonzero((head == RESN[r]) & (np.concatenate(([True], s.run[1:] != s.run[:-1])) if s.n else False))
+        for k, names in enumerate(found):
+            rows = np.full((len(heads), len(names)), -1)
+            for i, n in enumerate(names):
+                at, mates = s.mates(heads, np.full(len(heads), NAME[n]))
+                rows[at[::-1], i] = mates[::-1]  # of a repeated name the first atom counts
+            for row in rows[(rows >= 0).all(1)]:
+                p, q = s.at[row], np.roll(s.at[row], -1, axis=0)
+                normal = unit(np.array([[((p[:, u] - q[:, u]) * (p[:, v] + q[:, v])).sum() for u, v in ((1, 2), (2, 0), (0, 1))]]))[0]
+                if not np.isnan(normal[0]):
+                    out.append((row, s.run[row[0]], k, s.xyz[row].sum(0) / len(row), normal))
+    out.sort(key=lambda x: x[1:3])
+    return out
+
+
+def _offset(q: np.ndarray, c: np.ndarray, n: np.ndarray) -> np.ndarray:
+    d = q - c
+    d = d - n * dot(d, n)[:, None]
+    return np.sqrt(dot(d, d))
+
+
+def _pi_stacking(s: Structure):
+    rings = _rings(s)
+    if not rings:
+        return None
+    centre, normal = np.array([x[3] for x in rings], float), np.array([x[4] for x in rings])
+    of = s.residue[np.array([x[0][0] for x in rings])]
+    i, j, d2 = near_all(centre, centre, s.reach(C.PI_STACK), lambda i, j, d2: (i < j) & (of[i] != of[j]) & s.gate(d2, C.LEAST, C.PI_STACK))
+    p = centre / float(s.scale)
+    angle = np.degrees(np.arccos(np.clip(dot(normal[i], normal[j]), -1, 1)))
+    angle = np.minimum(angle, 180 - angle)
+    ok = (np.minimum(_offset(p[j], p[i], normal[i]), _offset(p[i], p[j], normal[j])) < C.OFFSET) & ((angle < C.PLANE_ANGLE) | (angle > 90 - C.PLANE_ANGLE))
+    return _lists(s, [rings[x][0] for x in i[ok]], [rings[x][0] for x in j[ok]], d2[ok], angle[ok])
+
+
+def _pi_cation(s: Structure):
+    rings = _rings(s)
+    if not rings:
+        return None
+    sign, members, at, first = _charged_groups(s)
+    plus = np.flatnonzero(sign > 0)
+    centre, normal = np.array([x[3] for x in rings], float), np.array([x[4] for x in rings])
+    of = s.residue[np.array([x[0][0] for x in rings])]
+    i, j, d2 = near_all(centre, at[plus], s.reach(C.PI_CATION), lambda i, j, d2: (of[i] != s.residue[first[plus[j]]]) & s.gate(d2, C.LEAST, C.PI_CATION))
+    ok = _offset(at[plus[j]] / float(s.scale), centre[i] / float(s.scale), normal[i]) < C.OFFSET
+    return _lists(s, [rings[x][0] for x in i[ok]], [members[x] for x in plus[j[ok]]], d2[ok])
+
+
+def _hydrophobic(s: Structure):
+    carbon = s.isin("element", ("C",))
+    other = carbon | pc.is_null(s.element).to_numpy(zero_copy_only=False)
+    apolar = np.flatnonzero(carbon & (s.bonded(carbon)[0] > 0) & (s.bonded(~other)[0] == 0))
+    of = s.residue[apolar]
+    i, j, d2 = near_all(s.xyz[apolar], s.xyz[apolar], s.reach(C.HYDROPHOBIC), lambda i, j, d2: (i < j) & (of[i] != of[j]) & s.gate(d2, C.LEAST, C.HYDROPHOBIC))
+    # for each atom and residue on the other side the shortest contact, then the same the other way round
+    once = first_rows(i, of[j], by=(d2, j))
+    i, j, d2 = i[once], j[once], d2[once]
+    twice = first_rows(j, of[i], by=(d2, i))
+    return _plain(s, apolar[i[twice]], apolar[j[twice]], d2[twice])
+
+
+def _halogen_bonds(s: Structure, elements: tuple[str, ...]):
+    def sole(which, of):
+        count, last = s.bonded(s.isin("element", of))
+        rows = np.flatnonzero(s.isin("element", which) & (count == 1))
+        return rows, s.at[last[rows]]
+
+    (a, an), (h, hn) = sole(C.HALOGEN_ACCEPTORS, C.ANTECEDENTS), sole(elements, ("C",))
+    i, j, d2 = near_all(s.xyz[a], s.xyz[h], s.reach(C.HALOGEN), lambda i, j, d2: (s.residue[a[i]] != s.residue[h[j]]) & s.gate(d2, C.LEAST, C.HALOGEN))
+    at_acceptor, at_halogen = angle_at(s.at[a[i]], an[i], s.at[h[j]]), angle_at(s.at[h[j]], s.at[a[i]], hn[j])
+    near_ = lambda x, v: (x > v - C.HALOGEN_SLACK) & (x < v + C.HALOGEN_SLACK)
+    ok = near_(at_acceptor, C.HALOGEN_ACCEPTOR) & near_(at_halogen, C.HALOGEN_DONOR)
+    return _plain(s, h[j[ok]], a[i[ok]], d2[ok], angle=at_halogen[ok])
+
+
+def _metal_coordination(s: Structure):
+    side = np.zeros((len(RESN) + 1, len(NAMES) + 1), bool)
+    for r, names in C.METAL_DONORS.items():
+        side[RESN[r], [NAME[n] for n in names]] = True
+    a = np.flatnonzero(s.water & s.isin("element", ("O",)) | (s.name == NAME["O"]) | (s.name == NAME["OXT"]) | side[s.resn, s.name])
+    m = np.flatnonzero(s.metal)
+    i, j, d2 = near_all(s.xyz[m], s.xyz[a], s.reach(C.METAL), lambda i, j, d2: s.gate(d2, C.LEAST, C.METAL))
+    return _plain(s, m[i], a[j], d2)
+
+
+def _disulfides(s: Structure):
+    a = np.flatnonzero((s.resn == RESN["CYS"]) & (s.name == NAME["SG"]))
+    i, j, d2 = near_all(s.xyz[a], s.xyz[a], s.reach(C.DISULFIDE), lambda i, j, d2: (i < j) & (d2 > (C.LEAST * s.scale) ** 2))
+    return _plain(s, a[i], a[j], d2)
+
+
+def _plain(s: Structure, a: np.ndarray, b: np.ndarray, d2: np.ndarray, angle: np.ndarray | None = None, bridge: np.ndarray | None = None):
+    """Contacts of single atoms."""
+    ones = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1), pa.int32()), pa.array(s.idx[x], pa.int32()))
+    return _contacts(s, ones(a), ones(b), d2, angle, bridge)
+
+
+def _lists(s: Structure, a: list, b: list, d2: np.ndarray, angle: np.ndarray | None = None):
+    """Contacts of groups of atoms."""
+    of = lambda x: pa.array([s.idx[m].tolist() for m in x], pa.list_(pa.int32()))
+    return _contacts(s, of(a), of(b), d2, angle, None)
+
+
+def _contacts(s: Structure, a: pa.Array, b: pa.Array, d2: np.ndarray, angle: np.ndarray | None, bridge: np.ndarray | None):
+    n = len(d2)
+    return {
+        "atoms_a": a, "atoms_b": b, "distance": pa.array(s.angstrom(d2)),
+        "angle": pa.nulls(n, pa.float64()) if angle is None else pa.array(angle), "bridge": pa.nulls(n, pa.int32()) if bridge is None else pa.array(bridge, pa.int32()),
+    }
+
+
+def contacts(s: Structure, kinds: tuple[str, ...], halogens: tuple[str, ...]) -> dict:
+    """The kinds of contacts asked for, one after the other."""
+    makers = {
+        "hydrogen-bond": _hydrogen_bonds, "salt-bridge": _salt_bridges, "hydrophobic": _hydrophobic, "pi-stacking": _pi_stacking, "pi-cation": _pi_cation,
+        "halogen-bond": lambda s: _halogen_bonds(s, halogens), "water-bridge": _water_bridges, "metal-coordination": _metal_coordination, "disulfide": _disulfides,
+    }
+    found = [(k, x) for k in C.KINDS if k in kinds and (x := makers[k](s)) is not None]
+    if not found:
+        return {"kind": pa.array([], pa.string()), **_plain(s, *[np.zeros(0, np.int64)] * 3)}
+    joined = {c: pa.concat_arrays([x[c] for _, x in found]) for c in found[0][1]}
+    return {"kind": pa.concat_arrays([pa.repeat(pa.scalar(k), len(x["distance"])) for k, x in found]), **joined}

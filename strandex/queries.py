@@ -184,7 +184,7 @@ _APOLAR = "apolar as (select e.* from el e where e.element = 'C' and exists (sel
 _HYDROPHOBIC = f"""raw as (select a.sid, a.atom_idx as a, b.atom_idx as b, a.chain as ac, a.resi as ar, a.icode as ai, b.chain as bc, b.resi as br, b.icode as bi, {_d2('a', 'b')} as d2 from apolar a join apolar b on a.sid = b.sid and a.atom_idx < b.atom_idx and abs(a.x - b.x) <= 4000 where {_other_residue('a', 'b')} and {_d2('a', 'b')} > 250000 and {_d2('a', 'b')} < 16000000),
 p1 as (select * from (select *, row_number() over (partition by sid, a, bc, br, bi order by d2, a, b) as k from raw) where k = 1),
 p2 as (select * from (select * exclude k, row_number() over (partition by sid, b, ac, ar, ai order by d2, a, b) as k from p1) where k = 1)"""
-_query("hydrophobic", f"{_WITH}, {_RUNS}, {_BONDS}, {_APOLAR}, {_HYDROPHOBIC} select {_flat_sql('hydrophobic', 'a', 'b', 'd2')} from p2")(lambda a: _flat(interactions.hydrophobic(a, bonds.graph(a, S), S)))
+_query("hydrophobic", f"{_WITH}, {_RUNS}, {_BONDS}, {_APOLAR}, {_HYDROPHOBIC} select {_flat_sql('hydrophobic', 'a', 'b', 'd2')} from p2")(lambda a: _flat(interactions.detect(a, S, ("hydrophobic",))))
 
 
 def _angle_sql(v: str, a: str, b: str) -> str:
@@ -206,7 +206,7 @@ _query("halogen_bond", f"""{_WITH}, {_RUNS}, {_BONDS}, {_SOLE('onec', "('C')")},
   join el a on a.sid = h.sid join onex t on t.sid = a.sid and t.idx = a.atom_idx join el an on an.sid = a.sid and an.atom_idx = t.nb
   where h.element = 'S' and a.element in ('O', 'N', 'S') and {_other_residue('h', 'a')})
 select {_flat_sql('halogen-bond', 'h', 'a', 'd2', 'round(ah, 1)')} from (select *, {_angle_sql('h', 'a', 'c')} as ah, {_angle_sql('a', 'n', 'h')} as aa from p where d2 > 250000 and d2 < 16000000) where aa > 90 and aa < 150 and ah > 135 and ah < 195""")(
-    lambda a: _flat(interactions.halogen_bonds(a, bonds.graph(a, S), S, elements=("S",))))  # sulphur stands in: the tables have no halogen
+    lambda a: _flat(interactions.detect(a, S, ("halogen-bond",), halogens=("S",))))  # sulphur stands in: the tables have no halogen
 
 #: Five backbone atoms stand in for a ring in every pseudo-residue.
 _FIVE = ("N", "CA", "C", "O", "CB")
@@ -279,7 +279,7 @@ def _network_query(name: str, sql: str | None = None):
     """A query over the contacts of all nine kinds, and if there is SQL the same over three kinds, held against it."""
 
     def add(f):
-        _query(name)(lambda a: f(a := a.persist(), interactions.detect(a, S)))
+        _query(name)(lambda a: f(a, interactions.detect(a, S)))
         if sql is not None:
             _query(f"{name}_three_kinds", sql)(lambda a: f(a, interactions.detect(a, S, _THREE)))
         return f

@@ -20,8 +20,12 @@ def distinct_shuffles(df) -> int:
     return len(found)
 
 
-@pytest.mark.parametrize("name", ["bond_graph"])
+#: Shuffles of each query: the atoms, then what is found, which meets the atoms where they are.
+MOST = {"bond_graph": 1, "halogen_bond": 1}
+
+
+@pytest.mark.parametrize("name", sorted(MOST))
 def test_atoms_are_dealt_out_once(spark, name):
     df = QUERIES[name](spark, SF)
-    assert distinct_shuffles(df) == 1
+    assert distinct_shuffles(df) <= MOST[name]
     assert "Generate" not in df._jdf.queryExecution().toString()  # no copies into 27 cells
