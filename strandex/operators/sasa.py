@@ -1,9 +1,7 @@
 """Solvent-accessible surface by points on spheres.
 
-Neighbours come from one radius join of the whole corpus; what is left is, for
-each atom, how many points of its sphere no neighbour covers.  That is counted
-in Arrow batches of atoms with their neighbour lists, which are bounded by how
-many atoms fit around one.
+For each atom it is counted how many points of its sphere no neighbour covers,
+in a kernel over one structure's atoms.
 """
 
 from __future__ import annotations
@@ -16,11 +14,13 @@ from pyspark.sql import functions as F
 
 from strandex import constants as C
 from strandex.functions import scalars
-from strandex.operators import residues, roles, spatial
+from strandex.operators import kernels, residues, roles
 
 
 #: Neighbours whose points are counted together.
 PAIRS = 20_000
+#: Neighbours up to so many ångström are tried first.
+REACH = 4.6
 
 
 def sphere(n: int = C.POINTS) -> np.ndarray:
@@ -31,42 +31,55 @@ def sphere(n: int = C.POINTS) -> np.ndarray:
     return np.column_stack((r * np.cos(turn), r * np.sin(turn), z))
 
 
+def exposed(p: np.ndarray, r: np.ndarray, points: int = C.POINTS) -> np.ndarray:
+    """The share of each sphere's points (centres p, radii r) that no other sphere covers.
+
+    Near spheres cover most, so those up to REACH are tried first, and the others only against what isn't covered whole.
+    """
+    ball, free, before = sphere(points), np.ones(len(r)), -1.0
+    hidden = np.zeros((len(r), points), bool)
+    left = np.arange(len(r))
+    for reach in (REACH, 2 * r.max()) if len(r) else ():
+        for i, j, d2 in kernels.near(p[left], p, reach):
+            i = left[i]
+            keep = (i != j) & (d2 > before) & (d2 < (r[i] + r[j]) * (r[i] + r[j]))
+            i, j = i[keep], j[keep]
+            for lo in range(0, len(i), PAIRS):
+                a, b = i[lo : lo + PAIRS], j[lo : lo + PAIRS]
+                m, own, other = p[b] - p[a], r[a], r[b]
+                # |r b - m| < R, with the squares written out
+                covered = (own * own + (m * m).sum(1) - other * other)[:, None] < 2 * own[:, None] * (m @ ball.T)
+                starts = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))
+                hidden[a[starts]] |= np.logical_or.reduceat(covered, starts, axis=0)
+        left, before = left[~hidden[left].all(1)], reach * reach
+    free -= hidden.mean(1)
+    return free
+
+
+def _areas(s: kernels.Structure, rows: np.ndarray, probe: float, points: int) -> np.ndarray:
+    elements = tuple(C.VDW)
+    r = np.array([*C.VDW.values(), C.VDW_OTHER])[s.code("element", elements)[rows]] + probe  # -1 is the last
+    return 4 * np.pi * r * r * exposed(s.at[rows], r, points)
+
+
 def atom_areas(atoms: DataFrame, scale: float = 1.0, probe: float = C.PROBE, points: int = C.POINTS) -> DataFrame:
     """sid, atom_idx, area of the atoms given: choose them first, for all of them cover each other."""
-    a = atoms.select("sid", "atom_idx", *((F.col(c) / F.lit(float(scale))).alias(c) for c in "xyz"), (scalars.vdw_radius(F.col("element")) + probe).alias("r"))
-    pairs = spatial.radius_join(a, a, 2 * (max(C.VDW.values()) + probe), where=F.col("a_atom_idx") != F.col("b_atom_idx")).where("d2 < (a_r + b_r) * (a_r + b_r)")
-    near = pairs.groupBy(F.col("a_sid").alias("sid"), F.col("a_atom_idx").alias("atom_idx")).agg(F.collect_list(F.array(*(F.col(f"b_{c}") - F.col(f"a_{c}") for c in "xyz"), F.col("b_r"))).alias("near"))
-    kind = atoms.schema["sid"].dataType.simpleString()
-    ball = sphere(points)
-
-    def area(batches):
-        for batch in batches:
-            r, lists = batch.column(2).to_numpy(zero_copy_only=False), batch.column(3)
-            size = np.nan_to_num(pc.list_value_length(lists).to_numpy(zero_copy_only=False)).astype(np.int64)
-            near = lists.flatten().flatten().to_numpy(zero_copy_only=False).reshape(-1, 4)
-            ends = np.cumsum(size)
-            free, lo = np.ones(len(r)), 0
-            while lo < len(r):  # about PAIRS neighbours at once
-                done = ends[lo] - size[lo]
-                hi = max(lo + 1, int(np.searchsorted(ends, done + PAIRS, "right")))
-                some, m = np.arange(lo, hi)[size[lo:hi] > 0], near[done : ends[hi - 1]]
-                if len(some):
-                    own = np.repeat(r[some], size[some])
-                    # |r b - m| < R, with the squares written out
-                    covered = (own * own + (m[:, :3] ** 2).sum(1) - m[:, 3] ** 2)[:, None] < 2 * own[:, None] * (m[:, :3] @ ball.T)
-                    hidden = np.logical_or.reduceat(covered, (ends - size)[some] - done, axis=0)
-                    free[some] = 1 - hidden.mean(1)
-                lo = hi
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(4 * np.pi * r * r * free)], names=["sid", "atom_idx", "area"])
-
-    return a.select("sid", "atom_idx", "r").join(near, ["sid", "atom_idx"], "left").select("sid", F.col("atom_idx").cast("int").alias("atom_idx"), F.col("r").cast("double").alias("r"), "near").mapInArrow(area, f"sid {kind}, atom_idx int, area double")
+    kernel = lambda s: {"atom_idx": s.idx, "area": _areas(s, np.arange(s.n), probe, points)}
+    return kernels.per_structure(atoms, kernel, "atom_idx int, area double", scale, ("sid", "atom_idx", "element", "x", "y", "z"))
 
 
 def residue_areas(atoms: DataFrame, scale: float = 1.0, selected: DataFrame | None = None) -> DataFrame:
     """sid, run, key, resn, sasa (2 places), rsa (3 places): of the polymer's heavy atoms, narrowed afterwards."""
-    surface = residues.runs(atoms).where(roles.bears_surface())
-    found = surface.join(atom_areas(surface, scale), ["sid", "atom_idx"])
+    own = (*residues.KEY, "resn")
+    table = atoms.select("sid", "atom_idx", "element", *own, "x", "y", "z", roles.bears_surface().alias("bears"))
+
+    def kernel(s):
+        rows = np.flatnonzero(pc.fill_null(s.column("bears"), False).to_numpy(zero_copy_only=False))
+        return {"run": s.run[rows], **{c: s.column(c).take(pa.array(rows)) for c in own}, "atom_idx": s.idx[rows], "area": _areas(s, rows, C.PROBE, C.POINTS)}
+
+    kind = {f.name: f.dataType.simpleString() for f in table.schema.fields}
+    found = kernels.per_structure(table, kernel, f"run long, {', '.join(f'{c} {kind[c]}' for c in own)}, atom_idx int, area double", scale, tuple(table.columns))
     if selected is not None:
         found = found.join(selected.select("sid", "atom_idx"), ["sid", "atom_idx"], "left_semi")
-    total = found.groupBy("sid", "run").agg(*(F.min_by(c, "atom_idx").alias(c) for c in (*residues.KEY, "resn")), F.sum("area").alias("area"))
+    total = found.groupBy("sid", "run").agg(F.min_by(F.struct(*own), "atom_idx").alias("f"), F.sum("area").alias("area")).select("sid", "run", "f.*", "area")
     return total.select("sid", "run", *residues.KEY, "resn", F.round("area", 2).alias("sasa"), F.round(scalars.relative_sasa(F.col("area"), F.col("resn")), 3).alias("rsa"))
