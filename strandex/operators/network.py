@@ -11,10 +11,14 @@ from collections import deque
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandex import constants as C
 from strandex.functions import scalars
+from strandex.operators import kernels
 
 _KEY = ("chain", "resi", "icode")
 
@@ -25,23 +29,47 @@ def edges(found: DataFrame, atoms: DataFrame) -> DataFrame:
     The first atom of a side stands for its residue; the lower residue (chain,
     number, insertion code, none first) is the source.
     """
-    own = atoms.select("sid", "atom_idx", F.struct(*_KEY).alias("key"))
-    side = lambda p: own.select("sid", F.col("atom_idx").alias(f"{p}_idx"), F.col("key").alias(p))
-    pairs = found.select("sid", "kind", "distance", F.col("atoms_a")[0].alias("a_idx"), F.col("atoms_b")[0].alias("b_idx")).join(side("a"), ["sid", "a_idx"]).join(side("b"), ["sid", "b_idx"]).where("a <> b or (a.icode is null) <> (b.icode is null)")
-    swap = F.col("b") < F.col("a")
-    low, high = F.when(swap, F.col("b")).otherwise(F.col("a")), F.when(swap, F.col("a")).otherwise(F.col("b"))
-    grouped = pairs.select("sid", "kind", "distance", low.alias("low"), high.alias("high")).groupBy("sid", "low", "high", "kind").agg(F.count("*").alias("count"), F.min("distance").alias("min_distance"))
-    name = lambda c: scalars.node_id(F.col(f"{c}.chain"), F.col(f"{c}.resi"), F.col(f"{c}.icode"))
-    return grouped.select("sid", name("low").alias("source"), name("high").alias("target"), "kind", "count", "min_distance", (F.col("low.chain") != F.col("high.chain")).alias("interchain"), (scalars.contact_energy(F.col("kind")) * F.col("count")).alias("energy"))
+    def kernel(contacts, table):
+        s = kernels.Structure(table)
+        kinds = pc.dictionary_encode(contacts.column("kind").combine_chunks())
+        a, b = (s.places(contacts.column(c).to_numpy()) for c in ("a_idx", "b_idx"))
+        rows = np.flatnonzero((a >= 0) & (b >= 0))
+        rows = rows[s.rank[a[rows]] != s.rank[b[rows]]]
+        swap = s.rank[b[rows]] < s.rank[a[rows]]
+        low, high = np.where(swap, b[rows], a[rows]), np.where(swap, a[rows], b[rows])
+        kind, distance = kinds.indices.to_numpy()[rows], contacts.column("distance").to_numpy()[rows]
+        least = kernels.first_rows(s.rank[low], s.rank[high], kind, by=(distance,))
+        code = lambda x: (s.rank[low[x]] * s.n + s.rank[high[x]]) * len(kinds.dictionary) + kind[x]  # noqa: E731  ascending along least
+        count = np.bincount(np.searchsorted(code(least), code(slice(None))), minlength=len(least))
+        low, high, kind = low[least], high[least], kind[least]
+        energy = np.array([C.ENERGY.get(k, np.nan) for k in kinds.dictionary.to_pylist()], float)
+        return {
+            "source": s.node.take(pa.array(low)), "target": s.node.take(pa.array(high)), "kind": kinds.dictionary.take(pa.array(kind)), "count": count, "min_distance": distance[least],
+            "interchain": s.key[low, 0] != s.key[high, 0], "energy": pa.array(energy[kind] * count, from_pandas=True),
+        }
+
+    small = found.select("sid", "kind", F.col("distance").cast("double").alias("distance"), F.col("atoms_a")[0].alias("a_idx"), F.col("atoms_b")[0].alias("b_idx"))
+    return kernels.with_atoms(small, atoms, kernel, "source string, target string, kind string, count long, min_distance double, interchain boolean, energy double", ("sid", "atom_idx", *_KEY))
 
 
 def nodes(edges_: DataFrame, atoms: DataFrame) -> DataFrame:
     """sid, id, chain, resi, icode, resn, ss, degree (distinct partners) of every residue with an edge."""
-    both = edges_.select("sid", F.col("source").alias("id"), F.col("target").alias("other")).union(edges_.select("sid", "target", "source"))
-    degree = both.groupBy("sid", "id").agg(F.countDistinct("other").alias("degree"))
     ss = F.col("ss") if "ss" in atoms.columns else F.lit("C")
-    names = atoms.select("sid", scalars.node_id(*map(F.col, _KEY)).alias("id"), *_KEY, "resn", "atom_idx", ss.alias("ss")).groupBy("sid", "id").agg(F.min_by(F.struct(*_KEY, "resn", "ss"), "atom_idx").alias("f"))
-    return degree.join(names, ["sid", "id"]).select("sid", "id", "f.chain", "f.resi", "f.icode", "f.resn", "f.ss", "degree")
+    table = atoms.select("sid", "atom_idx", *_KEY, "resn", ss.alias("ss"))
+
+    def kernel(links, table):
+        s = kernels.Structure(table)
+        ends = [links.column(c).combine_chunks() for c in ("source", "target")]
+        ids = pc.dictionary_encode(pa.concat_arrays(ends))
+        n, codes = len(ids.dictionary), ids.indices.to_numpy()
+        pairs = np.unique(codes.astype(np.int64) * n + np.roll(codes, len(codes) // 2))
+        first = pc.index_in(ids.dictionary, s.node)  # the first of several
+        here = np.flatnonzero(pc.is_valid(first).to_numpy(zero_copy_only=False))
+        rows = pa.array(first.take(pa.array(here)), pa.int32())
+        return {"id": ids.dictionary.take(pa.array(here)), **{c: s.column(c).take(rows) for c in (*_KEY, "resn", "ss")}, "degree": np.bincount(pairs // n, minlength=n)[here]}
+
+    kind = {f.name: f.dataType.simpleString() for f in table.schema.fields}
+    return kernels.with_atoms(edges_.select("sid", "source", "target"), table, kernel, f"id string, {', '.join(f'{c} {kind[c]}' for c in (*_KEY, 'resn', 'ss'))}, degree long", tuple(table.columns))
 
 
 def filter_edges(edges_: DataFrame, kind: str | None = None, interchain: bool | None = None) -> DataFrame:
