@@ -295,8 +295,7 @@ def interactions_touching(a: DataFrame, found: DataFrame) -> DataFrame:
 @_query("interactions_all")
 def interactions_all(a: DataFrame) -> DataFrame:
     """All nine kinds as report records."""
-    a = a.persist()
-    return interactions.records(interactions.detect(a, S).persist(), a)
+    return interactions.records(interactions.detect(a, S), a)
 
 
 @_network_query("interactions_dedup")
@@ -332,7 +331,7 @@ _edge_query("rin_nodes", f"""{_NET}, {_ADJ}, deg as (select sid, u as id, count(
 _edge_query("rin_components", f"""with recursive {pseudo.SQL}, {_RUNS}, {_GROUPS}, {_EDGES}, {_ADJ}, reach as (select sid, u, u as v from adj union select r.sid, r.u, a.v from reach r join adj a on a.sid = r.sid and a.u = r.v)
 select sid, u as id, count(distinct v) as size from reach group by sid, u""")(lambda a, e: network.components(e).select("sid", "id", "size"))
 _edge_query("rin_bfs_distance", f"""with recursive {pseudo.SQL}, {_RUNS}, {_GROUPS}, {_EDGES}, {_ADJ}, walk as (select sid, min(u) as v, 0 as d from adj group by sid union select w.sid, a.v, d + 1 from walk w join adj a on a.sid = w.sid and a.u = w.v where d < 40)
-select sid, v as id, cast(min(d) as bigint) as distance from walk group by sid, v""")(lambda a, e: network.bfs_distance(e, network.adjacency(e).groupBy("sid").agg(F.min("source").alias("start"))))
+select sid, v as id, cast(min(d) as bigint) as distance from walk group by sid, v""")(lambda a, e: network.bfs_distance(e, e.where("source <> target").groupBy("sid").agg(F.least(F.min("source"), F.min("target")).alias("start"))))
 _edge_query("rin_betweenness")(lambda a, e: network.betweenness(e))
 _edge_query("rin_cut_residues", f"""with recursive {pseudo.SQL}, {_RUNS}, {_GROUPS}, {_EDGES}, {_ADJ}, reach as (
   select a.sid, a.u as cut, b.v as start, b.v as v from (select distinct sid, u from adj) a join adj b on b.sid = a.sid and b.u = a.u
