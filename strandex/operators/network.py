@@ -122,35 +122,31 @@ def brandes(near: list[list[int]], block: int = 64) -> np.ndarray:
     """Betweenness of an unweighted, undirected graph: every pair once, not normalised; a block of sources at once, level by level."""
     n = len(near)
     total, size = np.zeros(n), np.array([len(x) for x in near], np.int64)
-    linked = np.flatnonzero(size)
-    starts, flat = (np.cumsum(size) - size)[linked], np.array([v for x in near for v in x], np.int64)
-
-    def gathered(values: np.ndarray) -> np.ndarray:
-        """The sum over each node's neighbours."""
-        out = np.zeros_like(values)
-        if len(linked):
-            out[linked] = np.add.reduceat(values[flat], starts, axis=0)
-        return out
-
+    starts, flat = np.cumsum(size) - size, np.array([v for x in near for v in x], np.int64)
     for lo in range(0, n, block):
-        source = np.arange(lo, min(n, lo + block))
-        at = (source, np.arange(len(source)))
-        depth, paths = np.full((n, len(source)), -1), np.zeros((n, len(source)))
-        depth[at], paths[at], level = 0, 1, 0
-        while True:
-            new = gathered(np.where(depth == level, paths, 0))
-            reached = (new > 0) & (depth < 0)
-            if not reached.any():
-                break
+        k = min(n, lo + block) - lo
+        # one place for each source and node; a step goes along the edges of the level's places only
+        depth, paths = np.full(k * n, -1, np.int32), np.zeros(k * n)
+        here, level, steps = np.arange(k) * n + np.arange(lo, lo + k), 0, []
+        depth[here], paths[here] = 0, 1
+        while len(here):
+            node = here % n
+            count = size[node]
+            out = np.repeat(here, count)
+            to = flat[np.arange(len(out)) + np.repeat(starts[node] - (np.cumsum(count) - count), count)] + np.repeat(here - node, count)
+            new = depth[to] < 0
+            out, to = out[new], to[new]
             level += 1
-            depth[reached], paths[reached] = level, new[reached]
-        share = np.zeros_like(paths)
-        for d in range(level, 0, -1):
-            here = depth == d
-            back = gathered(np.divide(1 + share, paths, out=np.zeros_like(paths), where=here))
-            share += np.where(depth == d - 1, paths * back, 0)
-        share[at] = 0
-        total += share.sum(1)
+            depth[to] = level
+            np.add.at(paths, to, paths[out])
+            steps.append((out, to))
+            here = np.flatnonzero(depth == level)
+        share = np.zeros(k * n)
+        for out, to in reversed(steps):
+            np.add.at(share, out, paths[out] * ((1 + share[to]) / paths[to]))
+        share = share.reshape(k, n)
+        share[np.arange(k), np.arange(lo, lo + k)] = 0
+        total += share.sum(0)
     return total / 2
 
 
