@@ -21,7 +21,7 @@ def distinct_shuffles(df) -> int:
 
 
 #: Shuffles of each query: the atoms, then what is found, which meets the atoms where they are.
-MOST = {"bond_graph": 1, "halogen_bond": 1, "hydrophobic": 1, "rin_edges": 2, "interactions_all": 2, "rin_nodes": 3, "interactions_dedup": 2, "metrics_prf1": 5, "rin_betweenness": 3, "rin_bfs_distance": 5, "edge_intensity": 3, "rin_components": 3, "rin_cut_residues": 3, "rin_kind_rollup": 3, "rin_top_components": 5}
+MOST = {"bond_graph": 1, "sasa_residue": 2, "halogen_bond": 1, "hydrophobic": 1, "rin_edges": 2, "interactions_all": 2, "rin_nodes": 3, "interactions_dedup": 2, "metrics_prf1": 5, "rin_betweenness": 3, "rin_bfs_distance": 5, "edge_intensity": 3, "rin_components": 3, "rin_cut_residues": 3, "rin_kind_rollup": 3, "rin_top_components": 5}
 
 
 @pytest.mark.parametrize("name", sorted(MOST))
