@@ -39,6 +39,8 @@ SHINGLE, SIMILARITY, BITS, ROUNDS, HOT = 5, 0.8, 1024, 2, 8192
 SAMPLE, COMMON, CROWDED = 16, 4, 1 << 16
 #: Bits, as a power of two, of the filter that says which texts are compared; bits of a block of it.
 FILTER_BITS, BLOCK_BITS = 26, 16
+#: Distinct edges whose components one task finds; more go by star operations.
+FEW = 1 << 18
 _LONGS = pa.list_(pa.int64())
 _ID = f"coalesce(doc_id, {-(2**63 - 1)}L - 1L)"
 
@@ -244,7 +246,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, size: int =
     edges = steps.keep(_by_bits(marked), "edges")
     tested, last = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).limit(0), "shared"
     for k in range(ROUNDS + 1):
-        label = steps.keep(components(edges).withColumnRenamed("node", "sig"), f"label-{k}")
+        label = steps.keep(components(edges, few=FEW).withColumnRenamed("node", "sig"), f"label-{k}")
         named = shared.join(label, "sig", "left").select("h", "sig", "n", "i", F.coalesce("component", "sig").alias("label"))
         mixed = named.withColumn("low", F.min("label").over(bucket)).withColumn("high", F.max("label").over(bucket)).where("low < high").drop("low", "high")
         mixed = steps.keep(mixed, f"mixed-{k}")
@@ -258,7 +260,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, size: int =
         met = steps.keep(met.join(tested, ["a", "b"], "left_anti"), f"met-{k}")
         edges = steps.keep(edges.union(_verified(steps, met, info, texts, size, p, q, str(k))), f"edges-{k}")
         tested = tested.union(met)
-    label = components(edges).withColumnRenamed("node", "sig")
+    label = components(edges, few=FEW).withColumnRenamed("node", "sig")
     named = marked.select("doc_id", "sig").join(label, "sig", "left").select("doc_id", F.coalesce("component", "sig").alias("label"))
     smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     found, _ = common.stored(named.join(smallest, "label").select("doc_id", "component_id"), "similar-classes")

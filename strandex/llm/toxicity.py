@@ -32,6 +32,7 @@ BITS, TRAIN_DOCS, CUT = 18, 12_000, 0.3
 FIT_STEPS, RATE, L1, START_BIAS = 200, 0.05, 3e-5, -6.0
 #: Toxic documents that hold a feature, at least; log of how much commoner it is there, at least.
 LEAST_HOLDERS, LEAST_LIFT = 3, 0.7
+_BLOCK = 1 << 16
 #: Bytes that end a word: everything but letters, digits, apostrophe and bytes from 0x80 on.
 _BREAK = np.array([not (c >= 0x80 or 48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c == 39) for c in range(256)])
 _END = np.zeros(256, bool)
@@ -114,7 +115,14 @@ def fit(packed: list[tuple[int, int, bytes, bytes]], lift: np.ndarray, bits: int
         return w.astype(np.float32), float(np.log(rate / (1 - rate)))
     plain = np.array([x[1] for x in packed], float)
     sizes = [np.frombuffer(x[2], np.int32) for x in packed]
-    used, column = np.unique(np.frombuffer(b"".join(x[3] for x in packed), np.int32), return_inverse=True)
+    feature = np.frombuffer(b"".join(x[3] for x in packed), np.int32)
+    place = np.zeros(1 << bits, np.int64)
+    for lo in range(0, len(feature), _BLOCK):  # by blocks and places: sorting them all takes several times their size
+        place[feature[lo : lo + _BLOCK]] = 1
+    used = np.flatnonzero(place)
+    place[used] = np.arange(len(used))
+    column = place[feature]
+    del feature, place
     per = np.concatenate(sizes).astype(np.int64)
     row = np.repeat(np.arange(len(per)), per)
     docs = np.repeat(np.arange(n), [len(x) for x in sizes])
@@ -177,7 +185,12 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, bits: int
                 yield pa.RecordBatch.from_arrays([pa.array(marks[lo:hi], pa.int32()), pa.array([x[0] for x in got], pa.int64()), pa.array([x[1] for x in got], pa.binary()), pa.array([x[2] for x in got], pa.binary())], names=["toxic", "plain", "sizes", "features"])
 
     packed = rows.mapInArrow(packing, "toxic int, plain long, sizes binary, features binary").collect()  # at most ``most`` documents
-    return fit(sorted((int(r[0] > 0), r[1], bytes(r[2]), bytes(r[3])) for r in packed), lift, bits)
+    packed = [(int(r[0] > 0), r[1], bytes(r[2]), bytes(r[3])) for r in packed]
+    packed.sort()
+    model = fit(packed, lift, bits)
+    del packed
+    common.give_back()  # the driver's Python keeps it otherwise
+    return model
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], cut: float = CUT) -> DataFrame:

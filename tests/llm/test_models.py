@@ -215,3 +215,17 @@ def test_bpe_odd(odd, none):
     got = bpe.encode_documents(odd).collect()
     assert len(got) == odd.count() and {r.n_tokens for r in got if r.doc_id in (0, 1, 2)} == {0}
     assert bpe.encode_documents(none).count() == 0
+
+
+def test_toxicity_fit_takes_little_of_the_driver():
+    """At most 36 bytes for each word of the labelled documents, tables of the weights included."""
+    import tracemalloc
+
+    r = np.random.default_rng(3)
+    packed = [(i % 3 == 0, 1, np.full(50, 20, np.int32).tobytes(), r.integers(0, 5000, 1000).astype(np.int32).tobytes()) for i in range(600)]
+    lift = r.random(1 << toxicity.BITS)
+    tracemalloc.start()
+    toxicity.fit(packed, lift, steps=2)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most <= 36 * 600_000, most

@@ -38,6 +38,22 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
+def test_few_edges_are_joined_in_one_task(spark):
+    """The same components, without the rounds: their plans and tasks filled the driver's memory in the pipeline."""
+    r = random.Random(5)
+    pairs = [(r.randrange(-400, 400), r.randrange(-400, 400)) for _ in range(300)] + [(i, i + 1) for i in range(1000, 1060)] + [(7, 7), (-(2**63), 2**63 - 1)]
+    edges, sc = spark.createDataFrame(pairs, "src long, dst long"), spark.sparkContext
+    found, jobs = [], []
+    for few in (0, 1 << 18):
+        sc.setJobGroup(f"components-{few}", "")
+        found.append(sorted(map(tuple, components(edges, few=few).collect())))
+        jobs.append(len(sc.statusTracker().getJobIdsForGroup(f"components-{few}")))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert found[0] == found[1] and found[0]
+    assert jobs[1] < jobs[0] / 3, jobs
+    assert components(spark.createDataFrame([], "src long, dst long"), few=9).count() == 0
+
+
 def brute_fp(text):
     w = (text or "").encode().lower().split()
     if not w:
