@@ -31,25 +31,45 @@ def edges(found: DataFrame, atoms: DataFrame) -> DataFrame:
     """
     def kernel(contacts, table):
         s = kernels.Structure(table)
-        kinds = pc.dictionary_encode(contacts.column("kind").combine_chunks())
-        a, b = (s.places(contacts.column(c).to_numpy()) for c in ("a_idx", "b_idx"))
-        rows = np.flatnonzero((a >= 0) & (b >= 0))
-        rows = rows[s.rank[a[rows]] != s.rank[b[rows]]]
-        swap = s.rank[b[rows]] < s.rank[a[rows]]
-        low, high = np.where(swap, b[rows], a[rows]), np.where(swap, a[rows], b[rows])
-        kind, distance = kinds.indices.to_numpy()[rows], contacts.column("distance").to_numpy()[rows]
-        least = kernels.first_rows(s.rank[low], s.rank[high], kind, by=(distance,))
-        code = lambda x: (s.rank[low[x]] * s.n + s.rank[high[x]]) * len(kinds.dictionary) + kind[x]  # noqa: E731  ascending along least
-        count = np.bincount(np.searchsorted(code(least), code(slice(None))), minlength=len(least))
-        low, high, kind = low[least], high[least], kind[least]
-        energy = np.array([C.ENERGY.get(k, np.nan) for k in kinds.dictionary.to_pylist()], float)
-        return {
-            "source": s.node.take(pa.array(low)), "target": s.node.take(pa.array(high)), "kind": kinds.dictionary.take(pa.array(kind)), "count": count, "min_distance": distance[least],
-            "interchain": s.key[low, 0] != s.key[high, 0], "energy": pa.array(energy[kind] * count, from_pandas=True),
-        }
+        return _edges(s, contacts.column("kind").combine_chunks(), *(contacts.column(c).to_numpy() for c in ("a_idx", "b_idx", "distance")))
 
     small = found.select("sid", "kind", F.col("distance").cast("double").alias("distance"), F.col("atoms_a")[0].alias("a_idx"), F.col("atoms_b")[0].alias("b_idx"))
-    return kernels.with_atoms(small, atoms, kernel, "source string, target string, kind string, count long, min_distance double, interchain boolean, energy double", ("sid", "atom_idx", *_KEY))
+    return kernels.with_atoms(small, atoms, kernel, _EDGES, ("sid", "atom_idx", *_KEY))
+
+
+def detected_edges(atoms: DataFrame, scale: float = 1.0, kinds: tuple[str, ...] = C.KINDS, halogens: tuple[str, ...] = C.HALOGENS) -> DataFrame:
+    """``edges`` of the contacts that ``interactions.detect`` finds without components.
+
+    The contacts stay in the task that finds them, so they aren't shuffled and
+    the atoms are read once.  Who reads the edges twice makes them twice.
+    """
+    def kernel(s):
+        found = kernels.contacts(s, kinds, halogens)
+        return _edges(s, found["kind"], *(pc.list_element(found[c], 0).to_numpy(zero_copy_only=False) for c in ("atoms_a", "atoms_b")), found["distance"].to_numpy())
+
+    return kernels.per_structure(atoms, kernel, _EDGES, scale)
+
+
+_EDGES = "source string, target string, kind string, count long, min_distance double, interchain boolean, energy double"
+
+
+def _edges(s: kernels.Structure, kind: pa.Array, a_idx: np.ndarray, b_idx: np.ndarray, distance: np.ndarray) -> dict:
+    kinds = pc.dictionary_encode(kind)
+    a, b = s.places(a_idx), s.places(b_idx)
+    rows = np.flatnonzero((a >= 0) & (b >= 0))
+    rows = rows[s.rank[a[rows]] != s.rank[b[rows]]]
+    swap = s.rank[b[rows]] < s.rank[a[rows]]
+    low, high = np.where(swap, b[rows], a[rows]), np.where(swap, a[rows], b[rows])
+    kind, distance = kinds.indices.to_numpy()[rows], distance[rows]
+    least = kernels.first_rows(s.rank[low], s.rank[high], kind, by=(distance,))
+    code = lambda x: (s.rank[low[x]] * s.n + s.rank[high[x]]) * len(kinds.dictionary) + kind[x]  # noqa: E731  ascending along least
+    count = np.bincount(np.searchsorted(code(least), code(slice(None))), minlength=len(least))
+    low, high, kind = low[least], high[least], kind[least]
+    energy = np.array([C.ENERGY.get(k, np.nan) for k in kinds.dictionary.to_pylist()], float)
+    return {
+        "source": s.node.take(pa.array(low)), "target": s.node.take(pa.array(high)), "kind": kinds.dictionary.take(pa.array(kind)), "count": count, "min_distance": distance[least],
+        "interchain": s.key[low, 0] != s.key[high, 0], "energy": pa.array(energy[kind] * count, from_pandas=True),
+    }
 
 
 def nodes(edges_: DataFrame, atoms: DataFrame) -> DataFrame:

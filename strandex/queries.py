@@ -275,13 +275,13 @@ select {_flat_sql('water-bridge', 'd', 'a', 'greatest(d2a, d2b)', 'round(omega,
 _THREE = ("disulfide", "metal-coordination", "salt-bridge")
 
 
-def _network_query(name: str, sql: str | None = None):
-    """A query over the contacts of all nine kinds, and if there is SQL the same over three kinds, held against it."""
+def _network_query(name: str, sql: str | None = None, find=interactions.detect):
+    """A query over the contacts (or what else ``find`` makes) of all nine kinds, and if there is SQL the same over three kinds, held against it."""
 
     def add(f):
-        _query(name)(lambda a: f(a, interactions.detect(a, S)))
+        _query(name)(lambda a: f(a, find(a, S)))
         if sql is not None:
-            _query(f"{name}_three_kinds", sql)(lambda a: f(a, interactions.detect(a, S, _THREE)))
+            _query(f"{name}_three_kinds", sql)(lambda a: f(a, find(a, S, _THREE)))
         return f
 
     return add
@@ -315,8 +315,10 @@ edge as (select sid, source, target, p.kind, count(*) as "count", min(distance)
 _NET = f"{_WITH}, {_RUNS}, {_GROUPS}, {_EDGES}"
 
 
-def _edge_query(name: str, sql: str | None = None):
-    """``_network_query`` of the edges."""
+def _edge_query(name: str, sql: str | None = None, once: bool = False):
+    """``_network_query`` of the edges; ``once``: for a query that reads them once."""
+    if once:
+        return _network_query(name, sql, network.detected_edges)
     return lambda f: _network_query(name, sql)(lambda a, found: f(a, network.edges(found, a)))
 
 
@@ -329,7 +331,7 @@ _edge_query("rin_edges_between_chains", f"{_NET} select sid, source, target, \"c
 _ADJ = "adj as (select sid, source as u, target as v from edge union select sid, target, source from edge)"
 _edge_query("rin_nodes", f"""{_NET}, {_ADJ}, deg as (select sid, u as id, count(distinct v) as degree from adj group by all) select d.sid, d.id, arg_min(e.resn, e.atom_idx) as resn, any_value(degree) as degree from deg d join el e on e.sid = d.sid and {_ID('e')} = d.id group by d.sid, d.id""")(lambda a, e: network.nodes(e, a).select("sid", "id", "resn", "degree"))
 _edge_query("rin_components", f"""with recursive {pseudo.SQL}, {_RUNS}, {_GROUPS}, {_EDGES}, {_ADJ}, reach as (select sid, u, u as v from adj union select r.sid, r.u, a.v from reach r join adj a on a.sid = r.sid and a.u = r.v)
-select sid, u as id, count(distinct v) as size from reach group by sid, u""")(lambda a, e: network.components(e).select("sid", "id", "size"))
+select sid, u as id, count(distinct v) as size from reach group by sid, u""", once=True)(lambda a, e: network.components(e).select("sid", "id", "size"))
 _edge_query("rin_bfs_distance", f"""with recursive {pseudo.SQL}, {_RUNS}, {_GROUPS}, {_EDGES}, {_ADJ}, walk as (select sid, min(u) as v, 0 as d from adj group by sid union select w.sid, a.v, d + 1 from walk w join adj a on a.sid = w.sid and a.u = w.v where d < 40)
 select sid, v as id, cast(min(d) as bigint) as distance from walk group by sid, v""")(lambda a, e: network.bfs_distance(e, e.where("source <> target").groupBy("sid").agg(F.least(F.min("source"), F.min("target")).alias("start"))))
 _edge_query("rin_betweenness")(lambda a, e: network.betweenness(e))

@@ -66,3 +66,29 @@ def test_kernel_rings_and_cations(spark):
     want = flat(interactions.pi_stacking(rings)) + flat(interactions.pi_cation(rings, groups))
     assert {x[0] for x in want} == {"pi-stacking", "pi-cation"}
     assert flat(interactions.detect(a, kinds=("pi-stacking", "pi-cation"))) == sorted(want)
+
+
+#: Queries that read the edges once: the atoms, and the edges.
+ONCE = {"rin_components": 2}
+
+
+@pytest.mark.parametrize("name", sorted(ONCE))
+def test_contacts_are_not_shuffled(spark, name):
+    df = QUERIES[name](spark, SF)
+    assert distinct_shuffles(df) <= ONCE[name]
+    assert "CoGroup" not in df._jdf.queryExecution().executedPlan().toString()  # the atoms aren't read again
+
+
+@pytest.mark.parametrize("kinds", [None, ("salt-bridge",), ("disulfide", "pi-stacking")])
+def test_detected_edges_are_those_of_the_contacts(spark, kinds):
+    from strandex import constants as C
+    from strandex.operators import interactions, network
+    from strandex.sources import pseudo
+
+    a, k = pseudo.atoms(spark, SF), kinds or C.KINDS
+    lone = a.where("atom_idx = 1 and sid = 0").selectExpr("-1 as sid", *(c for c in a.columns if c != "sid"))  # a structure without a contact
+    a = a.unionByName(lone)
+    want, got = network.edges(interactions.detect(a, pseudo.SCALE, k), a), network.detected_edges(a, pseudo.SCALE, k)
+    assert got.schema == want.schema
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert rows(want) and rows(got) == rows(want)
