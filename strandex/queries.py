@@ -338,7 +338,7 @@ _edge_query("rin_betweenness")(lambda a, e: network.betweenness(e))
 _edge_query("rin_cut_residues", f"""with recursive {pseudo.SQL}, {_RUNS}, {_GROUPS}, {_EDGES}, {_ADJ}, reach as (
   select a.sid, a.u as cut, b.v as start, b.v as v from (select distinct sid, u from adj) a join adj b on b.sid = a.sid and b.u = a.u
   union select r.sid, r.cut, r.start, a.v from reach r join adj a on a.sid = r.sid and a.u = r.v where a.v <> r.cut)
-select distinct a.sid, a.u as id from adj a join adj b on a.sid = b.sid and a.u = b.u and a.v < b.v where not exists (select 1 from reach r where r.sid = a.sid and r.cut = a.u and r.start = a.v and r.v = b.v)""")(lambda a, e: network.cut_residues(e))
+select distinct a.sid, a.u as id from adj a join adj b on a.sid = b.sid and a.u = b.u and a.v < b.v where not exists (select 1 from reach r where r.sid = a.sid and r.cut = a.u and r.start = a.v and r.v = b.v)""", once=True)(lambda a, e: network.cut_residues(e))
 _edge_query("rin_top_hubs")(lambda a, e: network.top_hubs(network.nodes(e, a), network.betweenness(e)))
 _edge_query("rin_top_components", f"""with recursive {pseudo.SQL}, {_RUNS}, {_GROUPS}, {_EDGES}, {_ADJ}, reach as (select sid, u, u as v from adj union select r.sid, r.u, a.v from reach r join adj a on a.sid = r.sid and a.u = r.v),
 place as (select sid, {_ID('e')} as id, min((chain, resi, coalesce(icode, ''))) as p from el e group by all), named as (select r.sid, r.u, arg_min(r.v, place.p) as component from reach r join place on place.sid = r.sid and place.id = r.v group by r.sid, r.u),

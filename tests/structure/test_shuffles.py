@@ -68,8 +68,8 @@ def test_kernel_rings_and_cations(spark):
     assert flat(interactions.detect(a, kinds=("pi-stacking", "pi-cation"))) == sorted(want)
 
 
-#: Queries that read the edges once: the atoms, and the edges.
-ONCE = {"rin_components": 2}
+#: Queries that read the edges once: the atoms and the edges.
+ONCE = {"rin_components": 2, "rin_cut_residues": 2}
 
 
 @pytest.mark.parametrize("name", sorted(ONCE))
