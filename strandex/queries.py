@@ -345,7 +345,7 @@ place as (select sid, {_ID('e')} as id, min((chain, resi, coalesce(icode, '')))
 sized as (select sid, component, count(*) as size from named group by all)
 select * from (select *, cast(row_number() over (partition by sid order by size desc, component) as int) as rank from sized) where rank <= 10""")(lambda a, e: network.top_components(network.components(e)))
 _edge_query("rin_layout")(lambda a, e: network.layouts(e))
-_edge_query("rin_kind_rollup", f"""{_NET} select sid, kind, count(*) as n_edges, cast(sum("count") as bigint) as n_contacts, round(sum(energy), 4) as energy from edge group by rollup (sid, kind)""")(lambda a, e: network.rollup(e))
+_edge_query("rin_kind_rollup", f"""{_NET} select sid, kind, count(*) as n_edges, cast(sum("count") as bigint) as n_contacts, round(sum(energy), 4) as energy from edge group by rollup (sid, kind)""", once=True)(lambda a, e: network.rollup(e))
 _edge_query("edge_intensity", f"{_NET} select sid, source, target, kind, round(0.4 + 0.6 * ln(1 + energy) / ln(1 + max(energy) over (partition by sid)), 6) as intensity from edge")(
     lambda a, e: e.select("sid", "source", "target", "kind", F.round(scalars.edge_intensity(F.col("energy"), F.max("energy").over(Window.partitionBy("sid"))), 6).alias("intensity")))
 
