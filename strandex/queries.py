@@ -343,7 +343,7 @@ _edge_query("rin_top_hubs")(lambda a, e: network.top_hubs(network.nodes(e, a), n
 _edge_query("rin_top_components", f"""with recursive {pseudo.SQL}, {_RUNS}, {_GROUPS}, {_EDGES}, {_ADJ}, reach as (select sid, u, u as v from adj union select r.sid, r.u, a.v from reach r join adj a on a.sid = r.sid and a.u = r.v),
 place as (select sid, {_ID('e')} as id, min((chain, resi, coalesce(icode, ''))) as p from el e group by all), named as (select r.sid, r.u, arg_min(r.v, place.p) as component from reach r join place on place.sid = r.sid and place.id = r.v group by r.sid, r.u),
 sized as (select sid, component, count(*) as size from named group by all)
-select * from (select *, cast(row_number() over (partition by sid order by size desc, component) as int) as rank from sized) where rank <= 10""")(lambda a, e: network.top_components(network.components(e)))
+select * from (select *, cast(row_number() over (partition by sid order by size desc, component) as int) as rank from sized) where rank <= 10""", once=True)(lambda a, e: network.top_components(network.components(e)))
 _edge_query("rin_layout")(lambda a, e: network.layouts(e))
 _edge_query("rin_kind_rollup", f"""{_NET} select sid, kind, count(*) as n_edges, cast(sum("count") as bigint) as n_contacts, round(sum(energy), 4) as energy from edge group by rollup (sid, kind)""", once=True)(lambda a, e: network.rollup(e))
 _edge_query("edge_intensity", f"{_NET} select sid, source, target, kind, round(0.4 + 0.6 * ln(1 + energy) / ln(1 + max(energy) over (partition by sid)), 6) as intensity from edge")(

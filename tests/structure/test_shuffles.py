@@ -68,8 +68,8 @@ def test_kernel_rings_and_cations(spark):
     assert flat(interactions.detect(a, kinds=("pi-stacking", "pi-cation"))) == sorted(want)
 
 
-#: Queries that read the edges once: the atoms and the edges or their sums.
-ONCE = {"rin_components": 2, "rin_cut_residues": 2, "rin_kind_rollup": 2}
+#: Queries that read the edges once: the atoms, the edges or their sums, and for the largest components two more of few rows.
+ONCE = {"rin_components": 2, "rin_cut_residues": 2, "rin_kind_rollup": 2, "rin_top_components": 4}
 
 
 @pytest.mark.parametrize("name", sorted(ONCE))
