@@ -275,7 +275,7 @@ select {_flat_sql('water-bridge', 'd', 'a', 'greatest(d2a, d2b)', 'round(omega,
 _THREE = ("disulfide", "metal-coordination", "salt-bridge")
 
 
-def _network_query(name: str, sql: str | None = None, find=interactions.detect):
+def _network_query(name: str, sql: str | None = None, find=lambda *x: interactions.detect(*x)):
     """A query over the contacts (or what else ``find`` makes) of all nine kinds, and if there is SQL the same over three kinds, held against it."""
 
     def add(f):
@@ -318,7 +318,7 @@ _NET = f"{_WITH}, {_RUNS}, {_GROUPS}, {_EDGES}"
 def _edge_query(name: str, sql: str | None = None, once: bool = False):
     """``_network_query`` of the edges; ``once``: for a query that reads them once."""
     if once:
-        return _network_query(name, sql, network.detected_edges)
+        return _network_query(name, sql, lambda *x: network.detected_edges(*x))
     return lambda f: _network_query(name, sql)(lambda a, found: f(a, network.edges(found, a)))
 
 
